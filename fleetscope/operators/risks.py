@@ -125,27 +125,40 @@ def parameter_changes(changes: DataFrame) -> DataFrame:
     return split.select("change_set_id", "ordinal", "file_path", F.inline("parameter_changes"))
 
 
+def _first_matching(lines: Column, java_pattern: str) -> Column:
+    return F.get(F.filter(lines, lambda l: l.rlike(java_pattern)), F.lit(0))
+
+
+def _quoted(joined: Column) -> Column:
+    return text.contains_any(joined, ["'", '"'])
+
+
+def _found(joined: Column, raw: str) -> Column:
+    return joined.rlike(text.pattern(raw, ignore_case=True, one_line=True))
+
+
 def _edit_rules() -> list[Column]:
     removed, added = F.col("removed"), F.col("added")
     gone, new = F.col("removed_text"), F.col("added_text")
     rules = []
     for family, raw in enumerate(DIFF_ROUTE_PATTERNS):
-        route = text.pattern(raw)
         routes = text.pattern(raw, one_line=True)
-        first = text.strip(F.get(F.filter(removed, lambda l, route=route: l.rlike(route)), F.lit(0)))
+        first = text.strip(_first_matching(removed, text.pattern(raw)))
         rules.append(
             F.when(
-                gone.rlike(routes),
+                _quoted(gone) & gone.rlike(routes),
                 F.when(new.rlike(routes), _risk("R02", F.col("file_path"), sub=family))
                 .otherwise(_risk("R01", first, subject=first, sub=family)),
             )
         )
+    # Each pattern needs its literal character; the substring test is far cheaper.
     built = F.lit(False)
-    for raw in SQL_BUILDING_PATTERNS:
-        built = built | new.rlike(text.pattern(raw, ignore_case=True, one_line=True))
+    for needed, raw in zip(["(", "%", "+"], SQL_BUILDING_PATTERNS):
+        built = built | (F.contains(new, F.lit(needed)) & _found(new, raw))
     secret = F.lit(False)
     for raw in SECRET_PATTERNS:
-        secret = secret | new.rlike(text.pattern(raw, ignore_case=True, one_line=True))
+        secret = secret | _found(new, raw)
+    secret = F.contains(new, F.lit("=")) & _quoted(new) & secret
     returns = [F.filter(side, lambda l: text.contains_any(l, RETURN_WORDS)) for side in (removed, added)]
     conditions = {
         "R04": text.contains_any(gone, CONDITION_WORDS) & text.contains_any(new, CONDITION_WORDS),
@@ -158,7 +171,7 @@ def _edit_rules() -> list[Column]:
         & (diffs.count_lines_with(added, QUERY_WORDS) > diffs.count_lines_with(removed, QUERY_WORDS)),
         "R09": F.contains(new, F.lit("async ")) & text.contains_any(new, BLOCKING_WORDS),
         "R10": built,
-        "R10b": new.rlike(text.pattern(SQL_FSTRING_PATTERN, ignore_case=True, one_line=True)),
+        "R10b": F.contains(new, F.lit("{")) & _found(new, SQL_FSTRING_PATTERN),
         "R11": text.contains_any(gone, AUTH_WORDS) & ~text.contains_any(new, AUTH_WORDS),
         "R12": secret,
     }
@@ -204,15 +217,6 @@ def interface_components(changes: DataFrame) -> DataFrame:
     return touched.select("change_set_id", "file_path").distinct()
 
 
-def _set_risk(df: DataFrame, rule_id: str) -> DataFrame:
-    risk = _risk(rule_id)
-    return df.select(
-        "change_set_id", F.lit(None).cast("int").alias("ordinal"),
-        *[risk[name].alias(name) for name in _EMITTED.elementType.names],
-        F.lit(None).cast("string").alias("component"), "n_components",
-    )
-
-
 def change_set_risks(changes: DataFrame) -> DataFrame:
     """Risks of a whole change set: several interfaces modified, many files changed.
 
@@ -228,9 +232,14 @@ def change_set_risks(changes: DataFrame) -> DataFrame:
     sets = paths.groupBy("change_set_id").agg(
         F.count("path").alias("n_interfaces"), F.sum("n").alias("n_changes")
     )
-    several = sets.filter("n_interfaces > 1").withColumn("n_components", F.col("n_interfaces"))
-    large = sets.filter(F.col("n_changes") > LARGE_CHANGE_SET).withColumn("n_components", F.col("n_changes"))
-    return _set_risk(several, "R15").unionByName(_set_risk(large, "R16"))
+    raised = F.array_compact(F.array(
+        F.when(F.col("n_interfaces") > 1, F.struct(F.col("n_interfaces").alias("n"), _risk("R15").alias("risk"))),
+        F.when(F.col("n_changes") > LARGE_CHANGE_SET, F.struct(F.col("n_changes").alias("n"), _risk("R16").alias("risk"))),
+    ))
+    return sets.select("change_set_id", F.inline(raised)).select(
+        "change_set_id", F.lit(None).cast("int").alias("ordinal"), "risk.*",
+        F.lit(None).cast("string").alias("component"), F.col("n").alias("n_components"),
+    )
 
 
 def first_changed_files(changes: DataFrame, limit: int = 5) -> DataFrame:
