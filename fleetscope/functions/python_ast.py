@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import ast
+import sys
 from collections import deque
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-STRUCTURE = T._parse_datatype_string(
-    "error STRING, complexity INT, "
-    "imports ARRAY<STRUCT<module: STRING, alias: STRING, type: STRING>>, "
-    "classes ARRAY<STRUCT<name: STRING, methods: ARRAY<STRING>, bases: ARRAY<STRING>, "
-    "decorators: ARRAY<STRING>, line_number: INT>>, "
-    "functions ARRAY<STRUCT<name: STRING, args: ARRAY<STRING>, decorators: ARRAY<STRING>, returns: STRING, "
-    "line_number: INT, complexity: INT>>"
-)
-SUMMARY = T._parse_datatype_string("error STRING, complexity INT")
+
+# The small parsing functions travel with the job: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+FACTS = {
+    "error": "STRING",
+    "complexity": "INT",
+    "imports": "ARRAY<STRUCT<module: STRING, alias: STRING, type: STRING>>",
+    "classes": "ARRAY<STRUCT<name: STRING, methods: ARRAY<STRING>, bases: ARRAY<STRING>, "
+    "decorators: ARRAY<STRING>, line_number: INT>>",
+    "functions": "ARRAY<STRUCT<name: STRING, args: ARRAY<STRING>, decorators: ARRAY<STRING>, returns: STRING, "
+    "line_number: INT, complexity: INT>>",
+}
+SUMMARY = ["error", "complexity"]
 _BRANCHES = (ast.If, ast.While, ast.For, ast.ExceptHandler)
 
 
@@ -91,26 +97,17 @@ def parse(source: bytes | None) -> dict:
         return {"error": f"too deeply nested: {type(problem).__name__}"}
 
 
-def _columns(sources: pd.Series, fields: list[str]) -> pd.DataFrame:
-    facts = [parse(source) for source in sources]
-    return pd.DataFrame({name: pd.Series([f.get(name) for f in facts], dtype="object") for name in fields})
-
-
-def _typed(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.astype({"complexity": "Int32"})
+def parser(fields: list[str]):
+    """An Arrow-batched expression giving ``fields`` of each source as a struct.
 
+    It is non-deterministic only to the optimizer: that keeps a filter on the
+    result from being pushed below the call, which would parse every file twice.
+    """
 
-# Non-deterministic only to the optimizer: it keeps a filter on the result
-# from being pushed below the call, which would parse every file twice.
-@F.pandas_udf(STRUCTURE)
-def structure(sources: pd.Series) -> pd.DataFrame:
-    return _typed(_columns(sources, STRUCTURE.names))
-
-
-@F.pandas_udf(SUMMARY)
-def summary(sources: pd.Series) -> pd.DataFrame:
-    return _typed(_columns(sources, SUMMARY.names))
-
+    def parse_batch(sources: pd.Series) -> pd.DataFrame:
+        facts = [parse(source) for source in sources]
+        frame = pd.DataFrame({name: pd.Series([f.get(name) for f in facts], dtype="object") for name in fields})
+        return frame.astype({"complexity": "Int32"})
 
-structure = structure.asNondeterministic()
-summary = summary.asNondeterministic()
+    schema = ", ".join(f"{name} {FACTS[name]}" for name in fields)
+    return F.pandas_udf(parse_batch, schema).asNondeterministic()

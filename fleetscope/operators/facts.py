@@ -19,7 +19,7 @@ SPAN_SEGMENTS = 8
 
 def parsed(files: DataFrame, full: bool = True) -> DataFrame:
     """Adds ``ast``: error, complexity and, if ``full``, imports, classes, functions."""
-    parse = python_ast.structure if full else python_ast.summary
+    parse = python_ast.parser(list(python_ast.FACTS) if full else python_ast.SUMMARY)
     return files.withColumn("ast", parse(F.col("content").cast("binary")))
 
 

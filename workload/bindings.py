@@ -80,7 +80,7 @@ _CHANGE_TYPE = (
 _REPO = "'repo' || " + _s("CAST(floor(l_suppkey / 20) AS BIGINT)")
 _SVC = "CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey % 20 END"
 
-_CONTENT = _text(
+CONTENT_LINES = [
     ("'import requests'", "k % 2 = 0"),
     ("'import os.path as p, sys'", "k % 5 = 0"),
     ("'from flask import Flask, jsonify as j'", "k % 7 = 0"),
@@ -113,7 +113,8 @@ _CONTENT = _text(
     ("'    async def m2(self):'", "k % 8 = 0"),
     ("'        pass'", "k % 8 = 0"),
     ("'def broken('", "k % 101 = 0"),
-)
+]
+_CONTENT = _text(*CONTENT_LINES)
 
 # --- steps, from part ----------------------------------------------------------
 
@@ -143,7 +144,7 @@ SELECT repo_id, 'svc' || CAST(svc AS STRING) AS service,
        'services/svc' || CAST(svc AS STRING) || CASE WHEN n % 3 = 0 THEN '/api' ELSE '' END || '/f'
        || CAST(k AS STRING) || '_' || CAST(n AS STRING) || '_' || CAST(p AS STRING) || '_' || CAST(s AS STRING)
        || '.py' AS path,
-       {_CONTENT} AS content
+       {_CONTENT} AS content, k AS ordinal_key
 FROM file_keys""",
     # One step per part; plans of 80 steps, some with duplicate ids, some cyclic.
     "part_keys": """
@@ -162,6 +163,33 @@ SELECT 'p' || CAST(pl AS STRING) AS plan_id, CAST(o AS INT) AS ordinal,
        p_size AS estimated_effort,
        CASE p_size % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END AS risk_level
 FROM part_keys""",
+    "plan_priorities": """
+SELECT DISTINCT 'p' || CAST(pl AS STRING) AS plan_id,
+       CASE pl % 4 WHEN 0 THEN '' WHEN 1 THEN 'ring,database' WHEN 2 THEN 'widget,api,ring,widget'
+         ELSE 'dead_code,add ' END AS wanted
+FROM part_keys""",
+    # Requested files: every file of every third order, and a missing one each.
+    "file_requests": """
+SELECT repo_id, path FROM code_files WHERE ordinal_key % 3 = 1
+UNION ALL
+SELECT DISTINCT repo_id, 'gone/f' || CAST(ordinal_key AS STRING) || '.py' AS path
+FROM code_files WHERE ordinal_key % 3 = 1""",
+    # Paths in every service layout.
+    "code_paths": """
+SELECT DISTINCT repo_id,
+       CASE k % 9 WHEN 0 THEN 'services/s' || t || '-service' WHEN 1 THEN 'microservices/s' || t
+         WHEN 2 THEN 'apps/.s' || t WHEN 3 THEN 'src/services/s' || t || '-api' WHEN 4 THEN 's' || t || '-service'
+         WHEN 5 THEN 's' || t || '-api' WHEN 6 THEN 's' || t || '-worker' WHEN 7 THEN 'services'
+         ELSE 'apps/s' || t END
+       || CASE n % 3 WHEN 0 THEN '/a/b' WHEN 1 THEN '/a' ELSE '' END
+       || '/m' || CAST(k AS STRING) || CASE n % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.md' ELSE '.py' END
+       AS path
+FROM (SELECT repo_id, k, n, CAST(p % 23 AS STRING) AS t FROM file_keys) AS f""",
+    # Mapped directories, one nested in another.
+    "service_map": """
+SELECT DISTINCT repo_id, 'team' || CAST(svc % 4 AS STRING) || CASE WHEN svc % 5 = 0 THEN '-api' ELSE '' END AS service,
+       'services/svc' || CAST(svc AS STRING) || CASE WHEN svc % 5 = 0 THEN '/api' ELSE '' END AS svc_path
+FROM file_keys""",
     # One service graph of 25 nodes per 25 parts.
     "service_edges": """
 SELECT DISTINCT repo_id, 'svc' || CAST(x AS STRING) AS source, 'svc' || CAST(y AS STRING) AS target FROM (
@@ -211,15 +239,6 @@ def _uses(sql: str, names) -> list[str]:
     return [name for name in names if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql)]
 
 
-def _closure(sql: str) -> list[str]:
-    needed: list[str] = []
-    for name in _uses(sql, VIEWS):
-        for inner in _closure(VIEWS[name]) + [name]:
-            if inner not in needed:
-                needed.append(inner)
-    return needed
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A binding view (or driver table) as a DataFrame, without touching the catalog."""
     if name in TABLES:
@@ -236,13 +255,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
-def with_views(body: str, recursive: bool = False) -> str:
-    """``body`` preceded by the binding views it reads; it may start with its own WITH list."""
-    ctes = [f"{name} AS ({VIEWS[name].strip()})" for name in _closure(body)]
-    body = body.strip()
-    own = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
-    if own:
-        recursive = recursive or bool(own.group(1))
-        head = ", ".join(ctes + [""]) if ctes else ""
-        return f"WITH {'RECURSIVE ' if recursive else ''}{head}{body[own.end():]}"
-    return f"WITH {', '.join(ctes)} {body}" if ctes else body
+def with_views(body: str, extra: dict[str, str] | None = None) -> str:
+    """``body`` (a SELECT) preceded by the views and ``extra`` CTEs it reads, for DuckDB."""
+    known = {**VIEWS, **(extra or {})}
+    order: list[str] = []
+
+    def add(sql: str, within: tuple[str, ...]) -> None:
+        for name in _uses(sql, known):
+            if name not in order and name not in within:  # a recursive CTE reads itself
+                add(known[name], (*within, name))
+                order.append(name)
+
+    add(body, ())
+    ctes = ", ".join(f"{name} AS ({known[name].strip()})" for name in order)
+    return f"WITH RECURSIVE {ctes} {body.strip()}" if ctes else body.strip()
