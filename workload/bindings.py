@@ -137,15 +137,14 @@ SELECT source AS change_set_id, CAST(doc_id AS INT) AS ordinal, lang || '/' || C
        'modify' AS change_type, '+' || replace(text, chr(10), chr(10) || '+') AS diff
 FROM documents""",
     "file_keys": f"""
-SELECT {_REPO} AS repo_id, {_SVC} AS svc, l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s
-FROM lineitem""",
-    "code_files": f"""
-SELECT repo_id, 'svc' || CAST(svc AS STRING) AS service,
+SELECT repo_id, 'svc' || CAST(svc AS STRING) AS service, svc, k, n, p,
        'services/svc' || CAST(svc AS STRING) || CASE WHEN n % 3 = 0 THEN '/api' ELSE '' END || '/f'
        || CAST(k AS STRING) || '_' || CAST(n AS STRING) || '_' || CAST(p AS STRING) || '_' || CAST(s AS STRING)
-       || '.py' AS path,
-       {_CONTENT} AS content, k AS ordinal_key
-FROM file_keys""",
+       || '.py' AS path
+FROM (SELECT DISTINCT {_REPO} AS repo_id, {_SVC} AS svc, l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s
+      FROM lineitem) AS l""",
+    "code_files": f"""
+SELECT repo_id, service, path, {_CONTENT} AS content, k AS ordinal_key FROM file_keys""",
     # One step per part; plans of 80 steps, some with duplicate ids, some cyclic.
     "part_keys": """
 SELECT CAST(floor(p_partkey / 80) AS BIGINT) AS pl, p_partkey % 80 AS o, p_partkey, p_name, p_size FROM part""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.operators import commits, dependencies, facts, graphs, risks, rollups, smells
 from fleetscope.plans import assembly, backlog, ordering
+from fleetscope.session import cut_lineage
 from fleetscope.sources import files as sources
 
 from .bindings import view
@@ -40,6 +41,11 @@ def file_facts(spark: SparkSession, sf: str) -> DataFrame:
     return facts.file_facts(view(spark, sf, "code_files"))
 
 
+def stored_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts read by several operators: parsed once, kept as a narrow table."""
+    return cut_lineage(file_facts(spark, sf))
+
+
 def structure(spark: SparkSession, sf: str) -> DataFrame:
     return facts.structure_facts(view(spark, sf, "code_files"))
 
@@ -214,29 +220,24 @@ def service_libraries(spark, sf):
     return rollups.service_libraries(file_facts(spark, sf))
 
 
-def _dependencies(spark, sf):
-    found = file_facts(spark, sf)
+def _dependencies(found: DataFrame) -> DataFrame:
     return dependencies.endpoint_dependencies(facts.endpoints(found), found)
 
 
-def _centrality(spark, sf):
-    return dependencies.degree_centrality(dependencies.dependency_edges(_dependencies(spark, sf)))
-
-
-def _metrics(spark, sf):
-    return rollups.fleet_metrics(
-        rollups.service_rollup(file_facts(spark, sf)), _dependencies(spark, sf), _centrality(spark, sf)
-    )
+def _metrics(found: DataFrame) -> DataFrame:
+    calls = cut_lineage(_dependencies(found))
+    central = dependencies.degree_centrality(dependencies.dependency_edges(calls))
+    return rollups.fleet_metrics(rollups.service_rollup(found), calls, central)
 
 
 @query
 def endpoint_dependencies(spark, sf):
-    return _dependencies(spark, sf)
+    return _dependencies(stored_facts(spark, sf))
 
 
 @query
 def dependency_edges(spark, sf):
-    return dependencies.dependency_edges(_dependencies(spark, sf))
+    return dependencies.dependency_edges(_dependencies(stored_facts(spark, sf)))
 
 
 @query
@@ -247,18 +248,18 @@ def degree_centrality(spark, sf):
 
 @query
 def fleet_metrics(spark, sf):
-    return _metrics(spark, sf)
+    return _metrics(stored_facts(spark, sf))
 
 
 @query
 def dependents(spark, sf):
-    rolled = rollups.service_rollup(file_facts(spark, sf))
-    return dependencies.dependents(rolled, _dependencies(spark, sf))
+    found = stored_facts(spark, sf)
+    return dependencies.dependents(rollups.service_rollup(found), _dependencies(found))
 
 
 @query
 def shared_tables(spark, sf):
-    return dependencies.shared_tables(rollups.service_tables(file_facts(spark, sf)))
+    return dependencies.shared_tables(rollups.service_tables(stored_facts(spark, sf)))
 
 
 @query
@@ -273,12 +274,12 @@ def service_smells(spark, sf):
 
 @query
 def shared_database_smells(spark, sf):
-    return smells.shared_database_smells(dependencies.shared_tables(rollups.service_tables(file_facts(spark, sf))))
+    return smells.shared_database_smells(dependencies.shared_tables(rollups.service_tables(stored_facts(spark, sf))))
 
 
 @query
 def smells_by_type(spark, sf):
-    found = file_facts(spark, sf)
+    found = stored_facts(spark, sf)
     every = smells.service_smells(rollups.service_rollup(found)).unionByName(
         smells.shared_database_smells(dependencies.shared_tables(rollups.service_tables(found)))
     )
@@ -312,13 +313,15 @@ def database_advice(spark, sf):
 
 @query
 def high_coupling(spark, sf):
-    return smells.high_coupling(_centrality(spark, sf), rollups.service_rollup(file_facts(spark, sf)))
+    found = stored_facts(spark, sf)
+    central = dependencies.degree_centrality(dependencies.dependency_edges(_dependencies(found)))
+    return smells.high_coupling(central, rollups.service_rollup(found))
 
 
 @query
 def single_points_of_failure(spark, sf):
-    rolled = rollups.service_rollup(file_facts(spark, sf))
-    return smells.single_points_of_failure(dependencies.dependents(rolled, _dependencies(spark, sf)))
+    found = stored_facts(spark, sf)
+    return smells.single_points_of_failure(dependencies.dependents(rollups.service_rollup(found), _dependencies(found)))
 
 
 # --- backlog ----------------------------------------------------------------------
@@ -381,12 +384,11 @@ def _flat(steps_: DataFrame) -> DataFrame:
     )
 
 
-def _backlog(spark, sf):
-    found = file_facts(spark, sf)
+def _backlog(found: DataFrame, plans: DataFrame) -> DataFrame:
     rolled = rollups.service_rollup(found)
     declared = facts.endpoints(found)
     return backlog.backlog_steps(
-        requests(spark, sf), rolled, dependencies.endpoint_dependencies(declared, found),
+        plans, rolled, dependencies.endpoint_dependencies(declared, found),
         graphs.sharing_groups(rollups.service_tables(found)), declared, smells.service_smells(rolled),
     )
 
@@ -398,12 +400,12 @@ def domain_driven_steps(spark, sf):
 
 @query
 def event_driven_steps(spark, sf):
-    return _flat(backlog.event_driven_steps(requests(spark, sf), _dependencies(spark, sf)))
+    return _flat(backlog.event_driven_steps(requests(spark, sf), _dependencies(stored_facts(spark, sf))))
 
 
 @query
 def microservice_steps(spark, sf):
-    found = file_facts(spark, sf)
+    found = stored_facts(spark, sf)
     groups = graphs.sharing_groups(rollups.service_tables(found))
     return _flat(backlog.microservice_steps(requests(spark, sf), groups, facts.endpoints(found)))
 
@@ -416,14 +418,14 @@ def generic_steps(spark, sf):
 
 @query
 def backlog_by_plan(spark, sf):
-    return _backlog(spark, sf).groupBy("plan_id", "type", "risk_level").agg(
+    return _backlog(stored_facts(spark, sf), requests(spark, sf)).groupBy("plan_id", "type", "risk_level").agg(
         F.count("*").alias("n_steps"), F.sum("estimated_effort").alias("effort")
     )
 
 
 @query
 def step_files(spark, sf):
-    found = file_facts(spark, sf)
+    found = stored_facts(spark, sf)
     plans = requests(spark, sf)
     split = backlog.domain_driven_steps(plans, rollups.service_rollup(found))
     versioned = backlog.microservice_steps(
@@ -434,39 +436,44 @@ def step_files(spark, sf):
 
 @query
 def success_criteria(spark, sf):
-    return backlog.success_criteria(requests(spark, sf), _metrics(spark, sf))
-
-
-def _plans(spark, sf):
-    ordered = ordering.ordered_steps(_backlog(spark, sf))
-    return assembly.assembled_plans(
-        requests(spark, sf), assembly.plan_totals(ordered),
-        backlog.success_criteria(requests(spark, sf), _metrics(spark, sf)), ordering.critical_paths(ordered),
-    )
+    return backlog.success_criteria(requests(spark, sf), _metrics(stored_facts(spark, sf)))
 
 
 @query
 def assembled_plans(spark, sf):
-    return _plans(spark, sf)
+    found = stored_facts(spark, sf)
+    plans = requests(spark, sf)
+    ordered = cut_lineage(ordering.ordered_steps(cut_lineage(_backlog(found, plans))))
+    return assembly.assembled_plans(
+        plans, assembly.plan_totals(ordered), backlog.success_criteria(plans, _metrics(found)),
+        ordering.critical_paths(ordered),
+    )
 
 
 @query
 def run_summary(spark, sf):
-    rolled = rollups.service_rollup(file_facts(spark, sf))
-    totals = assembly.plan_totals(_backlog(spark, sf))
-    plans = requests(spark, sf).join(totals, "plan_id", "left").fillna(0, ["n_steps", "total_effort"])
-    return assembly.run_summary(plans, _metrics(spark, sf), smells.service_smells(rolled))
+    found = stored_facts(spark, sf)
+    plans = requests(spark, sf)
+    totals = assembly.plan_totals(_backlog(found, plans))
+    totalled = plans.join(totals, "plan_id", "left").fillna(0, ["n_steps", "total_effort"])
+    return assembly.run_summary(totalled, _metrics(found), smells.service_smells(rollups.service_rollup(found)))
 
 
 # --- commits and releases ------------------------------------------------------------
 
 
-def _commits(spark, sf):
-    return commits.commit_records(commit_steps(spark, sf), changes(spark, sf), found_risks(spark, sf))
+def stored_risks(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_lineage(found_risks(spark, sf))
+
+
+def _commits(spark, sf, found=None):
+    found = stored_risks(spark, sf) if found is None else found
+    return commits.commit_records(commit_steps(spark, sf), changes(spark, sf), found)
 
 
 def _results(spark, sf):
-    return commits.step_results(commit_steps(spark, sf), _commits(spark, sf), found_risks(spark, sf))
+    found = stored_risks(spark, sf)
+    return commits.step_results(commit_steps(spark, sf), _commits(spark, sf, found), found)
 
 
 @query
