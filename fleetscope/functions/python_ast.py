@@ -24,7 +24,16 @@ FACTS = {
     "line_number: INT, complexity: INT>>",
 }
 SUMMARY = ["error", "complexity"]
-_BRANCHES = (ast.If, ast.While, ast.For, ast.ExceptHandler)
+_BRANCHES = frozenset({ast.If, ast.While, ast.For, ast.ExceptHandler})
+# Node classes below which nothing is counted, and node fields holding no such nodes.
+_LEAVES = (ast.Name, ast.Constant, ast.alias, ast.Global, ast.Nonlocal)
+_PARENTS = frozenset(
+    kind for kind in vars(ast).values()
+    if isinstance(kind, type) and issubclass(kind, ast.AST) and kind._fields and not issubclass(kind, _LEAVES)
+)
+_PLAIN_FIELDS = {"ctx", "op", "ops", "id", "attr", "name", "names", "kind", "type_comment", "lineno"}
+_FIELDS = {kind: [f for f in kind._fields if f not in _PLAIN_FIELDS] for kind in _PARENTS}
+_NOTED = _BRANCHES | {ast.BoolOp, ast.Import, ast.ImportFrom, ast.ClassDef, ast.FunctionDef}
 
 
 def _dotted(node) -> str:
@@ -52,15 +61,18 @@ def describe(tree: ast.AST) -> dict:
     queue: deque = deque([(tree, ())])
     while queue:
         node, around = queue.popleft()
-        if isinstance(node, _BRANCHES):
+        kind = node.__class__
+        if kind not in _NOTED:
+            pass
+        elif kind in _BRANCHES:
             found["complexity"] += 1
             for function in around:
                 function["complexity"] += 1
-        elif isinstance(node, ast.BoolOp):
+        elif kind is ast.BoolOp:
             found["complexity"] += len(node.values) - 1
-        elif isinstance(node, (ast.Import, ast.ImportFrom)):
+        elif kind is ast.Import or kind is ast.ImportFrom:
             found["imports"] += _imported(node)
-        elif isinstance(node, ast.ClassDef):
+        elif kind is ast.ClassDef:
             found["classes"].append({
                 "name": node.name,
                 "methods": [member.name for member in node.body if isinstance(member, ast.FunctionDef)],
@@ -68,7 +80,7 @@ def describe(tree: ast.AST) -> dict:
                 "decorators": [_dotted(mark) for mark in node.decorator_list],
                 "line_number": node.lineno,
             })
-        elif isinstance(node, ast.FunctionDef):
+        else:
             function = {
                 "name": node.name,
                 "args": [a.arg for a in node.args.args],
@@ -79,7 +91,12 @@ def describe(tree: ast.AST) -> dict:
             }
             found["functions"].append(function)
             around = (*around, function)
-        queue.extend((child, around) for child in ast.iter_child_nodes(node))
+        for field in _FIELDS[kind]:
+            value = getattr(node, field, None)
+            if value.__class__ is list:
+                queue.extend([(child, around) for child in value if child.__class__ in _PARENTS])
+            elif value.__class__ in _PARENTS:
+                queue.append((value, around))
     return found
 
 

@@ -39,7 +39,8 @@ def words(text: Column) -> Column:
 
 
 def unix_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    """Line ends as text-mode reading gives them; works on bytes, so bad UTF-8 stays visible."""
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:

@@ -140,8 +140,9 @@ FROM documents""",
 SELECT repo_id, 'svc' || CAST(svc AS STRING) AS service, svc, k, n, p,
        'services/svc' || CAST(svc AS STRING) || CASE WHEN n % 3 = 0 THEN '/api' ELSE '' END || '/f'
        || CAST(k AS STRING) || '_' || CAST(n AS STRING) || '_' || CAST(p AS STRING) || '_' || CAST(s AS STRING)
-       || '.py' AS path
-FROM (SELECT DISTINCT {_REPO} AS repo_id, {_SVC} AS svc, l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s
+       || '_' || CAST(u AS STRING) || '.py' AS path
+FROM (SELECT {_REPO} AS repo_id, {_SVC} AS svc, l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s,
+             CAST(floor(l_quantity) AS BIGINT) AS u
       FROM lineitem) AS l""",
     "code_files": f"""
 SELECT repo_id, service, path, {_CONTENT} AS content, k AS ordinal_key FROM file_keys""",
