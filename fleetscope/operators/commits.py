@@ -26,7 +26,7 @@ from ..catalogue import (
 )
 from ..functions import text
 from .positions import running_positions
-from .risks import RISK_ORDER, breaking, priority, severe, with_guidance
+from .risks import breaking, first_risks, severe, with_guidance
 
 _SUMMARISED = {"modify": None, "add": ("Added ", " new files"), "delete": ("Removed ", " files"), "rename": ("Renamed ", " files")}
 
@@ -141,8 +141,7 @@ def first_semantic_changes(changes: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def _first_lines(risks: DataFrame, condition: Column, line: Column, limit: int, name: str) -> DataFrame:
-    order = Window.partitionBy("change_set_id").orderBy(F.desc(priority()), *RISK_ORDER)
-    chosen = risks.filter(condition).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    chosen = first_risks(risks.filter(condition), ["change_set_id"], limit)
     listed = chosen.groupBy("change_set_id").agg(F.sort_array(F.collect_list(F.struct("position", line.alias("line")))).alias("l"))
     return listed.select("change_set_id", F.transform("l", lambda e: e["line"]).alias(name))
 
@@ -290,9 +289,8 @@ def _planned_risks(steps: DataFrame, risks: DataFrame) -> DataFrame:
 
 def release_risks(steps: DataFrame, risks: DataFrame, limit: int = 5) -> DataFrame:
     """First critical and high risks of a plan, in step order, with mitigation."""
-    order = Window.partitionBy("plan_id").orderBy("step_ordinal", F.desc(priority()), *RISK_ORDER)
-    chosen = _planned_risks(steps, risks.filter(severe())).withColumn("position", F.row_number().over(order))
-    first = with_guidance(chosen.filter(F.col("position") <= limit))
+    chosen = first_risks(_planned_risks(steps, risks.filter(severe())), ["plan_id"], limit, before=("step_ordinal",))
+    first = with_guidance(chosen)
     return first.select("plan_id", "position", "type", "severity", "description", "mitigation")
 
 

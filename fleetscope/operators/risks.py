@@ -322,11 +322,10 @@ def with_guidance(risks: DataFrame) -> DataFrame:
     )
 
 
-def top_risks(risks: DataFrame, keys: list[str], limit: int, condition: Column) -> DataFrame:
-    """First ``limit`` risks per key satisfying ``condition``, most urgent first."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("priority"), *[c for c in ["change_set_id"] if c not in keys], *RISK_ORDER)
-    scored = risks.filter(condition).withColumn("priority", priority())
-    return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+def first_risks(risks: DataFrame, keys: list[str], limit: int, before: tuple[str, ...] = ()) -> DataFrame:
+    """First ``limit`` risks per key with their ``position``: by ``before``, then most urgent first."""
+    order = Window.partitionBy(*keys).orderBy(*before, F.desc(priority()), *RISK_ORDER)
+    return risks.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
 
 
 def severe() -> Column:
