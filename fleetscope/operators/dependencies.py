@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalogue import API_DEPENDENCY_STRENGTH
+from ..functions.arrays import explode_rows
 from .facts import SPAN_SEGMENTS
 
 
@@ -19,9 +20,8 @@ def _has_name(path: Column) -> Column:
     return path.rlike("[^/]")
 
 
-def _spans(path: Column) -> Column:
-    """Every run of at most ``SPAN_SEGMENTS`` whole segments inside a path."""
-    segments = _segments(path)
+def _spans(segments: Column) -> Column:
+    """Every run of at most ``SPAN_SEGMENTS`` whole segments. Give a column: it is read once per run."""
     count = F.size(segments)
 
     def runs_from(start: Column) -> Column:
@@ -33,22 +33,26 @@ def _spans(path: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), runs_from))
 
 
+def _mentions(facts: DataFrame) -> DataFrame:
+    return explode_rows(facts, ["repo_id", "service"], "mentioned_paths", "mention").distinct()
+
+
 def path_mentions(facts: DataFrame) -> DataFrame:
     """Distinct ``repo_id, service, span``: whole-segment path pieces a service's code mentions."""
-    paths = facts.select("repo_id", "service", F.explode("mentioned_paths").alias("mention")).distinct()
-    spans = paths.select("repo_id", "service", F.explode(_spans(F.col("mention"))).alias("span"))
+    paths = _mentions(facts).withColumn("segments", _segments(F.col("mention")))
+    spans = explode_rows(paths, ["repo_id", "service"], _spans(F.col("segments")), "span")
     return spans.filter(_has_name(F.col("span"))).distinct()
 
 
 def _long_mentions(facts: DataFrame) -> DataFrame:
     """Mentions longer than a span, once per start: the leading span and the whole rest."""
-    paths = facts.select("repo_id", "service", F.explode("mentioned_paths").alias("mention")).distinct()
-    segments = _segments(F.col("mention"))
-    long = paths.filter(F.size(segments) > SPAN_SEGMENTS)
+    segments = F.col("segments")
+    long = _mentions(facts).select("repo_id", "service", _segments(F.col("mention")).alias("segments"))
+    long = long.filter(F.size(segments) > SPAN_SEGMENTS)
     starts = F.sequence(F.lit(1), F.size(segments) - SPAN_SEGMENTS)
-    suffix = F.transform(starts, lambda s: F.concat(F.lit("/"), F.array_join(F.slice(segments, s, F.size(segments)), "/")))
-    return long.select("repo_id", "service", F.explode(suffix).alias("rest")).select(
-        "repo_id", "service", "rest", F.substring_index("rest", "/", SPAN_SEGMENTS + 1).alias("span")
+    rest = F.transform(starts, lambda s: F.concat(F.lit("/"), F.array_join(F.slice(segments, s, F.size(segments)), "/")))
+    return explode_rows(long, ["repo_id", "service"], rest, "rest").withColumn(
+        "span", F.substring_index("rest", "/", SPAN_SEGMENTS + 1)
     )
 
 

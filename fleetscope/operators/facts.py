@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import DB_QUERY_PATTERNS, ENDPOINT_PATTERNS, LIBRARY_CALL_PATTERNS
 from ..functions import python_ast, text
+from ..functions.arrays import explode_rows, inline_rows
 
 SPAN_SEGMENTS = 8
 
@@ -28,21 +29,20 @@ def structure_facts(files: DataFrame) -> DataFrame:
     return parsed(files).drop("content").select("*", "ast.*").drop("ast")
 
 
-def _exploded(facts: DataFrame, column: str) -> DataFrame:
-    keys = [c for c in ("repo_id", "service", "path") if c in facts.columns]
-    return facts.select(*keys, F.inline(column))
+def _keys(facts: DataFrame) -> list[str]:
+    return [c for c in ("repo_id", "service", "path") if c in facts.columns]
 
 
 def imports(facts: DataFrame) -> DataFrame:
-    return _exploded(facts, "imports")
+    return inline_rows(facts, _keys(facts), "imports", "module")
 
 
 def classes(facts: DataFrame) -> DataFrame:
-    return _exploded(facts, "classes")
+    return inline_rows(facts, _keys(facts), "classes", "name")
 
 
 def functions(facts: DataFrame) -> DataFrame:
-    return _exploded(facts, "functions")
+    return inline_rows(facts, _keys(facts), "functions", "name")
 
 
 def library_names(content: Column) -> Column:
@@ -101,7 +101,7 @@ def file_facts(files: DataFrame, require_parse: bool = True) -> DataFrame:
     Files that do not parse keep their ``error`` and have null facts. With
     ``require_parse=False`` the text facts are taken from any language.
     """
-    keys = [c for c in ("repo_id", "service", "path") if c in files.columns]
+    keys = _keys(files)
     if require_parse:
         files = parsed(files, full=False)
     else:
@@ -120,16 +120,16 @@ def file_facts(files: DataFrame, require_parse: bool = True) -> DataFrame:
 
 
 def endpoints(facts: DataFrame) -> DataFrame:
-    keys = [c for c in ("repo_id", "service") if c in facts.columns]
-    numbered = facts.select(*keys, F.col("path").alias("file_path"), F.posexplode("endpoints").alias("ordinal", "e"))
-    return numbered.select(*keys, "file_path", "ordinal", "e.*")
+    keys = [c for c in _keys(facts) if c != "path"]
+    file_path = F.col("path").alias("file_path")
+    numbered = facts.select(*keys, file_path, F.posexplode_outer("endpoints").alias("ordinal", "e"))
+    return numbered.filter(F.col("ordinal").isNotNull()).select(*keys, "file_path", "ordinal", "e.*")
 
 
 def db_queries(facts: DataFrame) -> DataFrame:
-    return _exploded(facts, "db_queries")
+    return inline_rows(facts, _keys(facts), "db_queries", "type")
 
 
 def external_dependencies(facts: DataFrame) -> DataFrame:
     """Libraries called, distinct per file."""
-    keys = [c for c in ("repo_id", "service", "path") if c in facts.columns]
-    return facts.select(*keys, F.explode("external_dependencies").alias("library"))
+    return explode_rows(facts, _keys(facts), "external_dependencies", "library")

@@ -33,6 +33,7 @@ from ..catalogue import (
     SQL_FSTRING_PATTERN,
 )
 from ..functions import diffs, text
+from ..functions.arrays import inline_rows
 
 RISK_COLUMNS = [
     "change_set_id", "ordinal", "stage", "sub_ordinal", "rule_id", "type", "severity",
@@ -86,7 +87,7 @@ def diff_lines(changes: DataFrame) -> DataFrame:
         F.transform("removed", lambda l, i: F.struct(F.lit("-").alias("side"), i.alias("position"), l.alias("line"))),
         F.transform("added", lambda l, i: F.struct(F.lit("+").alias("side"), i.alias("position"), l.alias("line"))),
     )
-    return split_diffs(changes).select("change_set_id", "ordinal", F.inline(sides))
+    return inline_rows(split_diffs(changes), ["change_set_id", "ordinal"], sides, "side")
 
 
 def _with_parameter_changes(split: DataFrame) -> DataFrame:
@@ -110,7 +111,8 @@ def function_signatures(changes: DataFrame) -> DataFrame:
     """Last parameter list per (change, side, function)."""
     split = _joined_text(split_diffs(changes))
     ordered = split.withColumn("definitions", diffs.ordered_definitions(F.col("removed"), F.col("added")))
-    last = ordered.select("change_set_id", "ordinal", F.inline(diffs.last_definitions(F.col("definitions"))))
+    kept = diffs.last_definitions(F.col("definitions"))
+    last = inline_rows(ordered, ["change_set_id", "ordinal"], kept, "name")
     return last.select(
         "change_set_id", "ordinal",
         F.when(F.col("side") == 0, "-").otherwise("+").alias("side"),
@@ -122,7 +124,7 @@ def parameter_changes(changes: DataFrame) -> DataFrame:
     """Functions whose parameter list differs between the sides of a diff."""
     edited = changes.filter(F.col("change_type").isin("modify", "delete"))
     split = _with_parameter_changes(_joined_text(split_diffs(edited)))
-    return split.select("change_set_id", "ordinal", "file_path", F.inline("parameter_changes"))
+    return inline_rows(split, ["change_set_id", "ordinal", "file_path"], "parameter_changes", "function")
 
 
 def _first_matching(lines: Column, java_pattern: str) -> Column:
@@ -207,7 +209,7 @@ def change_risks(changes: DataFrame) -> DataFrame:
         .when(F.col("brings_in"), F.array(_risk("R13")).cast(_EMITTED))
         .when(F.col("change_type") == "rename", F.array(_risk("R14", F.col("file_path"))).cast(_EMITTED))
     )
-    found = split.select("change_set_id", "ordinal", F.col("file_path").alias("component"), F.inline(emitted))
+    found = inline_rows(split, ["change_set_id", "ordinal", F.col("file_path").alias("component")], emitted, "rule_id")
     return found.select(*RISK_COLUMNS)
 
 

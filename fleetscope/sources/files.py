@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import SERVICE_CODE_SUFFIXES, SERVICE_LAYOUTS
 from ..functions import text
+from ..functions.arrays import explode_rows, inline_rows
 
 
 def read_source_tree(spark: SparkSession, root: str, repo_id: str, glob: str = "*.py") -> DataFrame:
@@ -61,8 +62,7 @@ def discover_services(files: DataFrame) -> DataFrame:
         for rank, pattern in enumerate(_layout_patterns())
     ]))
     directories = (
-        files.select("repo_id", "path").filter(is_code)
-        .select("repo_id", F.inline(candidates))
+        inline_rows(files.filter(is_code), ["repo_id"], candidates, "svc_path")
         .withColumn("name", F.substring_index("svc_path", "/", -1))
         .filter(~F.col("name").startswith("."))
     )
@@ -75,8 +75,8 @@ def discover_services(files: DataFrame) -> DataFrame:
     )
 
 
-def _ancestors(path: Column) -> Column:
-    parts = F.split(path, "/")
+def _ancestors(parts: Column) -> Column:
+    """Directories above a file, from the path segments (a column: it is read once per directory)."""
     depth = F.size(parts)
     return F.when(
         depth > 1,
@@ -92,5 +92,6 @@ def assign_services(files: DataFrame, service_map: DataFrame) -> DataFrame:
     loop; pass facts rather than text, which keeps the shuffled rows narrow.
     """
     mapped = service_map.select("repo_id", "service", F.regexp_replace("svc_path", "/+$", "").alias("svc_path"))
-    below = files.withColumn("svc_path", F.explode(_ancestors(F.col("path"))))
+    split = files.withColumn("parts", F.split("path", "/"))
+    below = explode_rows(split, ["*"], _ancestors(F.col("parts")), "svc_path").drop("parts")
     return below.join(mapped, ["repo_id", "svc_path"]).drop("svc_path")
