@@ -14,14 +14,6 @@ def marked_lines(diff_lines: Column, mark: str) -> Column:
     return F.transform(kept, lambda l: F.substring(l, 2, 2147483647))
 
 
-def removed_lines(diff: Column) -> Column:
-    return marked_lines(F.split(diff, "\n"), "-")
-
-
-def added_lines(diff: Column) -> Column:
-    return marked_lines(F.split(diff, "\n"), "+")
-
-
 def count_lines_with(lines: Column, needles: list[str]) -> Column:
     return F.size(F.filter(lines, lambda l: text.contains_any(l, needles)))
 

@@ -46,7 +46,7 @@ def commit_type(description: Column, step_type: Column) -> Column:
 
 def change_set_summary(changes: DataFrame) -> DataFrame:
     """One row per change set: counts per change type, line sums, and what the scope needs."""
-    segments = F.filter(F.split("file_path", "/"), lambda s: (s != "") & (s != "."))
+    segments = text.path_segments(F.col("file_path"))
     rooted = F.startswith("file_path", F.lit("/"))
     depth = F.size("segments")
     normal = F.concat(F.when(F.col("rooted"), "/").otherwise(""), F.array_join("segments", "/"))
@@ -289,16 +289,19 @@ def _planned_risks(steps: DataFrame, risks: DataFrame) -> DataFrame:
 
 def release_risks(steps: DataFrame, risks: DataFrame, limit: int = 5) -> DataFrame:
     """First critical and high risks of a plan, in step order, with mitigation."""
-    chosen = first_risks(_planned_risks(steps, risks.filter(severe())), ["plan_id"], limit, before=("step_ordinal",))
+    # No step contributes more than the limit, so a change set is cut before the join.
+    per_step = first_risks(risks.filter(severe()), ["change_set_id"], limit).drop("position")
+    chosen = first_risks(_planned_risks(steps, per_step), ["plan_id"], limit, before=("step_ordinal",))
     first = with_guidance(chosen)
     return first.select("plan_id", "position", "type", "severity", "description", "mitigation")
 
 
 def test_suggestions(steps: DataFrame, risks: DataFrame) -> DataFrame:
     """Distinct test suggestions per plan."""
-    # Suggestions follow from rule and subject: make those distinct before expanding them.
-    narrow = _planned_risks(steps, risks.select("change_set_id", "rule_id", "subject")).select("plan_id", "rule_id", "subject")
-    return with_guidance(narrow.distinct()).select("plan_id", F.explode("test_suggestions").alias("suggestion")).distinct()
+    # Suggestions follow from rule and subject: make those distinct before joining and expanding them.
+    per_set = risks.select("change_set_id", "rule_id", "subject").distinct()
+    per_plan = _planned_risks(steps, per_set).select("plan_id", "rule_id", "subject").distinct()
+    return with_guidance(per_plan).select("plan_id", F.explode("test_suggestions").alias("suggestion")).distinct()
 
 
 def first_test_suggestions(steps: DataFrame, risks: DataFrame, limit: int = 10) -> DataFrame:

@@ -9,6 +9,8 @@ from ..catalogue import API_DEPENDENCY_STRENGTH
 from ..functions.arrays import explode_rows
 from .facts import SPAN_SEGMENTS
 
+SALTS = 16
+
 
 def _segments(path: Column) -> Column:
     """Segments after the leading slash."""
@@ -63,8 +65,9 @@ def endpoint_dependencies(endpoints: DataFrame, facts: DataFrame) -> DataFrame:
     equi-join on (repository, path) instead of a nested loop over service pairs.
     Paths longer than a span join on their leading span and are then compared in
     full. Both sides are deduplicated first; ``declarations`` keeps how many
-    endpoints of the target share the path. A path mentioned everywhere is a
-    skewed join key, which adaptive skew-join splitting handles.
+    endpoints of the target share the path. A path mentioned everywhere would be
+    one huge join key: the calling services of a path are spread over ``SALTS``
+    parts, each joined with a copy of the few declaring rows.
     """
     path = F.col("path")
     full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
@@ -77,8 +80,11 @@ def endpoint_dependencies(endpoints: DataFrame, facts: DataFrame) -> DataFrame:
     )
     short = declared.filter(~F.col("is_long")).withColumn("span", F.col("full"))
     long = declared.filter("is_long").withColumn("span", F.substring_index("full", "/", SPAN_SEGMENTS + 1))
-    by_span = path_mentions(facts).join(short, ["repo_id", "span"])
-    by_rest = _long_mentions(facts).join(long, ["repo_id", "span"]).filter(
+    salt = F.pmod(F.xxhash64("service"), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    key = ["repo_id", "span", "salt"]
+    by_span = path_mentions(facts).withColumn("salt", salt).join(short.withColumn("salt", salts), key)
+    by_rest = _long_mentions(facts).withColumn("salt", salt).join(long.withColumn("salt", salts), key).filter(
         F.startswith(F.concat("rest", F.lit("/")), F.concat("full", F.lit("/")))
     )
     columns = ["repo_id", F.col("service").alias("source"), "target", "path", "declarations"]

@@ -121,7 +121,7 @@ def generic_steps(requests: DataFrame, smells: DataFrame) -> DataFrame:
         .when(F.col("type") == "high_complexity", _step("reduce_complexity", 2, description=fix, subject=location))
         .when(F.col("type") == "dead_code", _step("dead_code", 3))
     )
-    return _emit(plans.join(found.withColumnRenamed("type", "type"), "repo_id"), by_type)
+    return _emit(plans.join(found, "repo_id"), by_type)
 
 
 def backlog_steps(requests: DataFrame, rollup: DataFrame, dependencies: DataFrame, groups: DataFrame,

@@ -135,6 +135,11 @@ FROM events""",
     "text_changes": """
 SELECT source AS change_set_id, CAST(doc_id AS INT) AS ordinal, lang || '/' || CAST(doc_id AS STRING) AS file_path,
        'modify' AS change_type, '+' || replace(text, chr(10), chr(10) || '+') AS diff
+FROM documents""",
+    # Whole documents, each closed by a query on its source.
+    "text_files": """
+SELECT source AS repo_id, CAST(doc_id AS STRING) AS path,
+       text || chr(10) || 'Select ' || lang || ' , x  from ' || source || chr(10) || 'db.session.add (x)' AS content
 FROM documents""",
     "file_keys": f"""
 SELECT repo_id, 'svc' || CAST(svc AS STRING) AS service, svc, k, n, p,
@@ -242,9 +247,11 @@ def _uses(sql: str, names) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A binding view (or driver table) as a DataFrame, without touching the catalog."""
     if name in TABLES:
-        # A driver table is one small row group, hence one task; the views expand
-        # rows to text, so spread the narrow rows over the cores first.
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism)
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # A small driver table is one row group, hence one task. The views expand
+        # rows to text, so spread its narrow rows over idle cores first.
+        cores = spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
     sql = VIEWS[name]
     inputs = _uses(sql, TABLES) + _uses(sql, VIEWS)
     frames = {used: view(spark, sf_dir, used) for used in inputs}

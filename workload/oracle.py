@@ -239,7 +239,6 @@ def _db(source: str, keys: str) -> str:
 
 PARTS["o_db_queries"] = _db("ok_files", "repo_id, service, path")
 BODIES["db_queries"] = "SELECT * FROM o_db_queries"
-PARTS["text_files"] = "SELECT source AS repo_id, CAST(doc_id AS STRING) AS path, text AS content FROM documents"
 BODIES["text_db_queries"] = _db("text_files", "repo_id, path")
 BODIES["requested_files"] = """
 SELECT r.repo_id, r.path,

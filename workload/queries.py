@@ -172,10 +172,7 @@ def db_queries(spark, sf):
 
 @query
 def text_db_queries(spark, sf):
-    documents = view(spark, sf, "documents").select(
-        F.col("source").alias("repo_id"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")
-    )
-    return facts.db_queries(facts.file_facts(documents, require_parse=False))
+    return facts.db_queries(facts.file_facts(view(spark, sf, "text_files"), require_parse=False))
 
 
 @query
