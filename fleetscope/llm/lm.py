@@ -1,15 +1,17 @@
 """Language-model scores by a weighted backoff automaton.
 
 The model is a smoothed bigram. A state is a word of the training texts, the root
-stands for no history. The arc of state h for word w, present if the pair was seen,
-has weight
+stands for no history. The arc of state h for word w, present if the pair was seen, has weight
 
-    (c(h w) + MU * p(w)) / (c(h) + MU)
+    (1 - f(h)) * c(h w) / c(h) + f(h) * p(w)
 
-and leads to the state of w; the failure arc of h has weight MU / (c(h) + MU) and leads to
-the root, whose arcs have the add-one probability p(w) = (c(w) + 1) / (N + V + 1),
-unknown words included. The weights of a state sum to one. c(h) counts how often h
-was followed by anything, so c(h) is the sum of its pair counts.
+and leads to the state of w; the failure arc of h has weight f(h) and leads to the
+root, whose arcs have the add-one probability p(w) = (c(w) + 1) / (N + V + 1),
+unknown words included. The weights of a state sum to one. f(h) is the share of new
+successors that a history seen c(h) times should expect, k / (k + c(h)^(1 - GROWTH)): the
+number of different successors grows as a power of c(h). k is set so that the expected number of new pairs equals
+the number of pairs seen once, the estimate of unseen mass. c(h) counts how often h was
+followed by anything, so it is the sum of its pair counts.
 
 Counts grow with the corpus, so no task or driver holds them all. Texts are packed
 into blocks of a few MB of word numbers, stored once. A block sends its distinct words and pairs,
@@ -27,13 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix, only, per_worker, stored, text_bytes, words
 
-#: Weight of the lower order in words; a history seen MU times trusts its own counts by half.
-MU = 60.0
+#: The number of different successors of a history grows as its count to this power.
+GROWTH = 0.8
 #: Bytes of text in a block, and texts in it at most (a text is never split).
 BLOCK_BYTES, BLOCK_TEXTS = 24 << 20, 20_000
 END = b"\n"
@@ -61,11 +63,11 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
 
-def held_out(doc_id: F.Column) -> F.Column:
+def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2
 
 
-def text_blocks(docs: DataFrame, held: F.Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def text_blocks(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Texts as packed blocks of word numbers, stored."""
     rows = only(docs, id_column, text_column).select(
         F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.coalesce(held, F.lit(False)).alias("held")
@@ -160,15 +162,30 @@ def training_counts(blocks: DataFrame, ranges: int) -> DataFrame:
         total_keys, totals = _sums(np.concatenate(keys), np.concatenate([_unpack(c, np.int64) for c in group["counts"]]))
         group["counts"] = [_pack(totals[np.searchsorted(total_keys, k)]) for k in keys]
         # The range's own sums travel once, with its first block.
+        power = np.floor(np.log2(np.maximum(1, totals))).astype(np.int64)
         known = totals > 0
-        group["n"] = 0
-        group["v"] = 0
-        group.iloc[0, group.columns.get_loc("n")] = totals.sum()
-        group.iloc[0, group.columns.get_loc("v")] = known.sum()
-        return group[["block", "level", "part", "counts", "n", "v"]]
+        sums = [totals.sum(), known.sum(), (totals == 1).sum(), *np.bincount(power[known], totals[known], 64).astype(np.int64), *np.bincount(power[known], minlength=64)]
+        group["sums"] = [sums] + [None] * (len(group) - 1)
+        return group[["block", "level", "part", "counts", "sums"]]
 
     asked = blocks.select("block", "held", "lengths", "word_hashes", "tokens").mapInArrow(ask, kinds)
-    return asked.groupBy("level", "part").applyInPandas(answer, "block bigint, level int, part int, counts binary, n bigint, v bigint")
+    return asked.groupBy("level", "part").applyInPandas(answer, "block bigint, level int, part int, counts binary, sums array<bigint>")
+
+
+def failure_weights(seen: np.ndarray, k: float) -> np.ndarray:
+    """f(h) of histories seen so many times; 1 if never."""
+    return np.where(seen > 0, k / (k + np.maximum(seen, 1.0) ** (1 - GROWTH)), 1.0)
+
+
+def fitted_k(tokens: np.ndarray, words: np.ndarray, new: int) -> float:
+    """k for which histories, ``words`` with ``tokens`` occurrences by power of two, expect ``new`` unseen pairs."""
+    some = words > 0
+    seen, tokens = tokens[some] / words[some], tokens[some]
+    lo, hi = 1e-3, 1e3
+    for _ in range(60):
+        k = float(np.sqrt(lo * hi))
+        lo, hi = (k, hi) if (tokens * failure_weights(seen, k)).sum() < new else (lo, k)
+    return float(np.sqrt(lo * hi))
 
 
 class Automaton:
@@ -178,12 +195,12 @@ class Automaton:
     sorted by ``state * words + word``; ``fail`` has the weight of each state's failure arc.
     """
 
-    def __init__(self, unigram: np.ndarray, seen: np.ndarray, arcs: np.ndarray, counts: np.ndarray, mu: float):
+    def __init__(self, unigram: np.ndarray, seen: np.ndarray, arcs: np.ndarray, counts: np.ndarray, k: float):
         self.words, self.unigram, self.arcs = len(unigram), unigram, arcs
         state, word = np.divmod(arcs, max(1, self.words))
-        fail = mu / (seen + mu)
+        fail = failure_weights(seen, k)
         self.fail = np.log10(fail)
-        self.weight = np.log10(counts / (seen[state] + mu) + fail[state] * 10.0 ** unigram[word])
+        self.weight = np.log10((1 - fail[state]) * counts / seen[state] + fail[state] * 10.0 ** unigram[word])
 
     def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Log weights of reading ``word`` in ``state``: by its arc, else by the failure arc to the root."""
@@ -212,7 +229,7 @@ class Automaton:
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def scores(docs: DataFrame, held: F.Column | None = None, mu: float = MU, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scores(docs: DataFrame, held: Column | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Learns from rows for which ``held`` is not true (null ids are learnt from). Words are
@@ -224,8 +241,10 @@ def scores(docs: DataFrame, held: F.Column | None = None, mu: float = MU, id_col
     blocks = text_blocks(docs, held_out(F.col(id_column)) if held is None else held, id_column, text_column)
     ranges = min(65_536, max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     answers = stored(training_counts(blocks, ranges), "training-counts")
-    totals = answers.filter("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    n, v = int(totals[0]), int(totals[1])
+    sums = answers.filter("sums IS NOT NULL").groupBy("level").agg(F.array(*(F.sum(F.col("sums")[i]) for i in range(131))).alias("sums"))
+    totals = {r["level"]: np.array(r["sums"], np.float64) for r in sums.collect()}  # two rows
+    words_, pairs = totals.get(0, np.zeros(131)), totals.get(1, np.zeros(131))
+    n, v, k = int(words_[0]), int(words_[1]), fitted_k(words_[3:67], words_[67:], int(pairs[2]))
 
     def score(key, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = blocks.iloc[0].to_dict()
@@ -244,7 +263,7 @@ def scores(docs: DataFrame, held: F.Column | None = None, mu: float = MU, id_col
         known = c_pair > 0
         arcs = (history[first] * len(words_) + number[first])[known]
         order = np.argsort(arcs)
-        model = Automaton(unigram, seen, arcs[order], c_pair[known][order], mu)
+        model = Automaton(unigram, seen, arcs[order], c_pair[known][order], k)
         ids = _unpack(row["doc_ids"], np.int64)
         return pd.DataFrame({
             "doc_id": pd.array([None if i == np.iinfo(np.int64).min else i for i in ids], "Int64"),
