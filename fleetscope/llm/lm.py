@@ -37,7 +37,7 @@ from .common import WordHashes, mix, only, per_worker, stored, text_bytes, words
 #: The number of different successors of a history grows as its count to this power.
 GROWTH = 0.8
 #: Bytes of text in a block, and texts in it at most (a text is never split).
-BLOCK_BYTES, BLOCK_TEXTS = 24 << 20, 20_000
+BLOCK_BYTES, BLOCK_TEXTS = 10 << 20, 20_000
 END = b"\n"
 _END_HASH = WordHashes()[END]
 _START = np.uint64(0x5851F42D4C957F2D)
