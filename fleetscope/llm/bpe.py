@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,10 @@ def pieces(text: str) -> list[str]:
     return re.split(r"(?<=[A-Za-z0-9.,;])(?=[ \n])", text)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceCache(dict):
     """Piece to its ids as packed little-endian unsigned 32-bit integers."""
 
@@ -45,7 +50,7 @@ class PieceCache(dict):
             self.clear()
         missing = list({p for s in split for p in s if p not in self})
         for piece, ids in zip(missing, self.encode(missing), strict=True):
-            self[piece] = np.asarray(ids, "<u4").tobytes()
+            self[piece] = _packed(ids)
         return [b"".join(map(self.__getitem__, s)) for s in split]
 
 

@@ -18,7 +18,7 @@ BROADCAST_KEYS = 1_000_000
 #: Text bytes that a Python helper holds as arrays at a time; longer texts are taken alone.
 CHUNK_BYTES = 2 << 20
 #: Entries of a per-worker word cache before it starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
