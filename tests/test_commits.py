@@ -18,13 +18,13 @@ def changes(spark, *paths, kind="modify", added=10, removed=5):
         [("c", i, p, kind, "", {"added": added, "removed": removed}, [f"Touched {p}"]) for i, p in enumerate(paths)], CHANGES)
 
 
-def step(spark, description="Add API versioning to user service", type_="api_versioning", message=None, risk="medium",
+def step(spark, description="Add tracking numbers to parcel service", type_="api_versioning", message=None, risk="medium",
          rollback=None, checks=()):
-    return spark.createDataFrame([("p", 0, "step-123", "c", type_, description, risk, rollback, list(checks), message)], STEPS)
+    return spark.createDataFrame([("p", 0, "move-7", "c", type_, description, risk, rollback, list(checks), message)], STEPS)
 
 
 def one_risk(spark, severity="high"):
-    return spark.createDataFrame([("c", 0, 1, 0, "R02", "api_change", severity, "API endpoints modified", None, "api/users.py")], RISKS)
+    return spark.createDataFrame([("c", 0, 1, 0, "R02", "api_change", severity, "API endpoints modified", None, "depot/tracking.py")], RISKS)
 
 
 def no_risk(spark):
@@ -32,47 +32,53 @@ def no_risk(spark):
 
 
 def test_commit_record(spark):
-    edited = changes(spark, "api/users.py", "api/routes.py")
+    edited = changes(spark, "depot/tracking.py", "depot/parcels.py")
     got = commits.commit_records(step(spark, checks=["a", "b", "c", "d"]), edited, one_risk(spark))
     row = got.withColumn("full", commits.full_message()).withColumn("ok", commits.passes_gate()).first()
-    assert (row.type, row.scope, row.breaking_change) == ("feat", "api", True)
-    assert row.message == "feat(api): api versioning to user service"
+    assert (row.type, row.scope, row.breaking_change) == ("feat", "depot", True)
+    assert row.message == "feat(depot): tracking numbers to parcel service"
     assert row.body == (
-        "- Add API versioning to user service\n\nChanges:\n- Modified 2 files (+20/-10 lines)\n- Touched api/routes.py\n"
-        "- Touched api/users.py\n\nValidation:\n- a\n- b\n- c\n\nRisks addressed:\n- api_change: API endpoints modified")
+        "- Add tracking numbers to parcel service\n\nChanges:\n- Modified 2 files (+20/-10 lines)\n- Touched depot/parcels.py\n"
+        "- Touched depot/tracking.py\n\nValidation:\n- a\n- b\n- c\n\nRisks addressed:\n- api_change: API endpoints modified")
     assert row.footer == (
-        "BREAKING CHANGE: API modifications may affect existing clients\n  - API endpoints modified\n\nRef: step-123")
+        "BREAKING CHANGE: API modifications may affect existing clients\n  - API endpoints modified\n\nRef: move-7")
     assert row.full == f"{row.message}\n\n{row.body}\n\n{row.footer}" and row.ok
 
 
-def plain_header(kind, scope, description):
-    """The shortening rule, word by word."""
-    text = description.lower()
-    for verb in ["implement", "create", "add", "update", "refactor", "fix"]:
-        if text.startswith(verb + " "):
-            text = text[len(verb) + 1:]
-            break
-    start = f"{kind}({scope}): " if scope else f"{kind}: "
-    if len(start + text) <= 72:
-        return start + text
-    words = text.split()
-    while len(f"{kind}({scope}): {' '.join(words)}") > 72 and len(words) > 3:
-        words.pop()
-    return start + " ".join(words) + "..."
+def headers(spark, data):
+    table = spark.createDataFrame(data, "description string, kind string, scope string")
+    return table.withColumn("h", commits.header(F.col("description"), F.lit(None).cast("string"), F.col("kind"), F.col("scope"))).collect()
+
 
+def test_short_and_single_headers(spark):
+    cases = {
+        ("Add parcel tracking", "feat", None): "feat: parcel tracking",
+        ("Fix depot lookup", "fix", "depot"): "fix(depot): depot lookup",
+        ("Additional depots", "feat", None): "feat: additional depots",
+        ("x" * 80 + " b c d e", "feat", None): "feat: " + "x" * 80 + " b c...",
+    }
+    for row in headers(spark, list(cases)):
+        assert row.h == cases[row.description, row.kind, row.scope]
 
-def test_headers_against_plain_rule(spark):
+
+def test_long_headers_keep_the_longest_fitting_words(spark):
     dice = random.Random(5)
     data = []
     for _ in range(400):
-        words = ["".join(dice.choice("abé") for _ in range(dice.randint(1, 18))) for _ in range(dice.randint(1, 14))]
-        text = dice.choice(["Add ", "Fix ", "update", ""]) + dice.choice([" ", "  "]).join(words)
-        data.append((text, dice.choice(["feat", "refactor"]), dice.choice([None, "api", "user-service"])))
-    data.append(("x" * 80 + " b c d e", "feat", None))
-    table = spark.createDataFrame(data, "description string, kind string, scope string")
-    got = table.withColumn("h", commits.header(F.col("description"), F.lit(None).cast("string"), F.col("kind"), F.col("scope")))
-    for row in got.collect():
-        assert row.h == plain_header(row.kind, row.scope, row.description)
+        words = ["".join(dice.choice("zqé") for _ in range(dice.randint(1, 18))) for _ in range(dice.randint(1, 14))]
+        data.append((" ".join(words), dice.choice(["feat", "refactor"]), dice.choice(["depot", "parcel-service"])))
+    for row in headers(spark, data):
+        start = f"{row.kind}({row.scope}): "
+        if len(start + row.description) <= 72:
+            assert row.h == start + row.description
+            continue
+        assert row.h.startswith(start) and row.h.endswith("...")
+        kept, every = row.h[len(start):-3].split(" "), row.description.split(" ")
+        assert kept == every[: len(kept)] and len(kept) >= min(3, len(every))
+        if len(kept) > 3:
+            assert len(start + " ".join(kept)) <= 72
+        if len(kept) < len(every):
+            assert len(start + " ".join(every[: len(kept) + 1])) > 72
 
 
 def test_types(spark):
@@ -119,7 +125,7 @@ def test_body_and_footer_parts(spark):
         step(spark, "Same", message="Same", risk="high", rollback="undo"), changes(spark, "a/x.py", kind="rename"), no_risk(spark)).first()
     assert quiet.message == "Same"
     assert quiet.body == "\nChanges:\n- Renamed 1 files\n- Touched a/x.py"
-    assert quiet.footer == "\nRef: step-123\n\nRollback: undo"
+    assert quiet.footer == "\nRef: move-7\n\nRollback: undo"
     assert quiet.breaking_change is False
 
 
