@@ -124,7 +124,7 @@ def parser(fields: list[str]):
     def parse_batch(sources: pd.Series) -> pd.DataFrame:
         facts = [parse(source) for source in sources]
         frame = pd.DataFrame({name: pd.Series([f.get(name) for f in facts], dtype="object") for name in fields})
-        return frame.astype({"complexity": "Int32"})
+        return frame.astype({"complexity": "Int32"}) if "complexity" in fields else frame
 
     schema = ", ".join(f"{name} {FACTS[name]}" for name in fields)
     return F.pandas_udf(parse_batch, schema).asNondeterministic()

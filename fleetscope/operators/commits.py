@@ -231,8 +231,16 @@ def step_results(steps: DataFrame, commits: DataFrame, risks: DataFrame) -> Data
     )
 
 
+def executed(results: DataFrame) -> DataFrame:
+    """Results of a run, which stops at its first failure: up to and with that step."""
+    failure = results.filter(~F.col("success")).groupBy("plan_id").agg(F.min("ordinal").alias("failed_at"))
+    reached = F.col("failed_at").isNull() | (F.col("ordinal") <= F.col("failed_at"))
+    return results.join(failure, "plan_id", "left").filter(reached).drop("failed_at")
+
+
 def execution_summary(results: DataFrame) -> DataFrame:
-    return results.groupBy("plan_id").agg(
+    """Counts over the executed steps."""
+    return executed(results).groupBy("plan_id").agg(
         F.count("*").alias("n_steps"),
         F.count_if(F.col("success")).alias("n_succeeded"),
         F.sum("n_severe_risks").alias("n_severe_risks"),
@@ -276,10 +284,11 @@ def severity_report(steps: DataFrame, risks: DataFrame) -> DataFrame:
     )
 
 
-def release_commits(commits: DataFrame) -> DataFrame:
-    """Headers of a plan's commits with the first body lines, blank ones dropped."""
+def release_commits(commits: DataFrame, results: DataFrame) -> DataFrame:
+    """Headers of the commits a run made with the first body lines, blank ones dropped."""
+    made = executed(results).filter("success").select("plan_id", "step_id")
     head = F.filter(F.slice(F.split("body", "\n"), 1, 3), lambda l: text.strip(l) != "")
-    return commits.select("plan_id", "ordinal", "message", F.array_join(head, "\n").alias("body_head"))
+    return commits.join(made, ["plan_id", "step_id"], "left_semi").select("plan_id", "ordinal", "message", F.array_join(head, "\n").alias("body_head"))
 
 
 def _planned_risks(steps: DataFrame, risks: DataFrame) -> DataFrame:
@@ -287,8 +296,14 @@ def _planned_risks(steps: DataFrame, risks: DataFrame) -> DataFrame:
     return risks.join(placed, "change_set_id")
 
 
+def executed_steps(steps: DataFrame, results: DataFrame) -> DataFrame:
+    """The rows of ``steps`` that a run came to."""
+    reached = executed(results).select("plan_id", F.col("step_id").alias("id"))
+    return steps.join(reached, ["plan_id", "id"], "left_semi")
+
+
 def release_risks(steps: DataFrame, risks: DataFrame, limit: int = 5) -> DataFrame:
-    """First critical and high risks of a plan, in step order, with mitigation."""
+    """First critical and high risks of a plan's (executed) steps, in step order, with mitigation."""
     # No step contributes more than the limit, so a change set is cut before the join.
     per_step = first_risks(risks.filter(severe()), ["change_set_id"], limit).drop("position")
     chosen = first_risks(_planned_risks(steps, per_step), ["plan_id"], limit, before=("step_ordinal",))

@@ -18,15 +18,15 @@ from ..functions.arrays import explode_rows, inline_rows
 SPAN_SEGMENTS = 8
 
 
-def parsed(files: DataFrame, full: bool = True) -> DataFrame:
-    """Adds ``ast``: error, complexity and, if ``full``, imports, classes, functions."""
-    parse = python_ast.parser(list(python_ast.FACTS) if full else python_ast.SUMMARY)
+def parsed(files: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Adds ``ast``, a struct of ``fields``: error, complexity, imports, classes, functions; all if none are named."""
+    parse = python_ast.parser(list(python_ast.FACTS) if fields is None else fields)
     return files.withColumn("ast", parse(F.col("content").cast("binary")))
 
 
-def structure_facts(files: DataFrame) -> DataFrame:
-    """One row per file with its parse error or its structure; no text."""
-    return parsed(files).drop("content").select("*", "ast.*").drop("ast")
+def structure_facts(files: DataFrame, *fields: str) -> DataFrame:
+    """One row per file with its parse error or its structure, or only ``fields`` of it; no text."""
+    return parsed(files, list(fields) or None).drop("content").select("*", "ast.*").drop("ast")
 
 
 def _keys(facts: DataFrame) -> list[str]:
@@ -90,9 +90,20 @@ def _accesses(content: Column, family: str, java: str) -> Column:
     return F.transform(F.regexp_extract_all(content, F.lit(java), F.lit(0)), access)
 
 
+def without_declarations(content: Column) -> Column:
+    """The text without its own route declarations, so that only calls are left."""
+    for raw in ENDPOINT_PATTERNS.values():
+        content = F.regexp_replace(content, F.lit(text.pattern(raw)), F.lit(""))
+    return content
+
+
 def mentioned_paths(content: Column) -> Column:
-    """Distinct URL-path texts: from a slash to the next blank, quote or delimiter."""
-    return F.array_distinct(F.regexp_extract_all(content, F.lit(r"""/[^\s'"`?#,;()]+"""), F.lit(0)))
+    """Distinct URL-path texts a file calls: from a slash to the next blank, quote or delimiter.
+
+    What a file declares is not a call of it.
+    """
+    called = without_declarations(content)
+    return F.array_distinct(F.regexp_extract_all(called, F.lit(r"""/[^\s'"`?#,;()]+"""), F.lit(0)))
 
 
 def file_facts(files: DataFrame, require_parse: bool = True) -> DataFrame:
@@ -103,7 +114,7 @@ def file_facts(files: DataFrame, require_parse: bool = True) -> DataFrame:
     """
     keys = _keys(files)
     if require_parse:
-        files = parsed(files, full=False)
+        files = parsed(files, python_ast.SUMMARY)
     else:
         files = files.withColumn("ast", F.struct(F.lit(None).cast("string").alias("error"), F.lit(1).alias("complexity")))
     ok = F.col("ast.error").isNull()

@@ -1,8 +1,8 @@
 """Graph operators as rounds of joins over edge tables.
 
 Every round is materialised in the shared checkpoint folder, so a lost executor
-costs one round and plans stay short. Bounds are arguments; going over one is an
-error, never a silent cut. All graphs of a table advance together.
+costs one round and plans stay short. A simple path visits a node once, so rounds end
+by themselves. All graphs of a table advance together.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def cyclic_core(edges: DataFrame, key: str) -> DataFrame:
     return core.select(key, "source", "target")
 
 
-def simple_cycles(edges: DataFrame, key: str = "repo_id", max_length: int = 100) -> DataFrame:
+def simple_cycles(edges: DataFrame, key: str = "repo_id") -> DataFrame:
     """Every simple cycle once, starting at its smallest node: ``key, cycle``."""
     core = cyclic_core(edges, key)
     step = core.withColumnsRenamed({"source": "tail", "target": "next"})
@@ -44,7 +44,6 @@ def simple_cycles(edges: DataFrame, key: str = "repo_id", max_length: int = 100)
         key, F.array("source", "target").alias("cycle"), F.col("target").alias("tail")
     )
     found = [loops]
-    length = 2
     while True:
         start = F.get("cycle", F.lit(0))
         grown = paths.join(step, [key, "tail"]).filter(
@@ -55,13 +54,10 @@ def simple_cycles(edges: DataFrame, key: str = "repo_id", max_length: int = 100)
         open_paths = grown.filter(F.col("next") != start)
         if open_paths.isEmpty():
             return _union(found)
-        length += 1
-        if length > max_length:
-            raise ValueError(f"paths longer than max_length={max_length} remain open")
         paths = open_paths.select(key, F.array_append("cycle", F.col("next")).alias("cycle"), F.col("next").alias("tail"))
 
 
-def simple_paths(edges: DataFrame, key: str, max_length: int = 100) -> DataFrame:
+def simple_paths(edges: DataFrame, key: str) -> DataFrame:
     """Every simple path from a node without in-edges to one without out-edges: ``key, path``."""
     step = cut_lineage(edges.select(key, F.col("source").alias("tail"), F.col("target").alias("next")).distinct())
     heads = step.select(key, F.col("next").alias("tail"))
@@ -69,7 +65,7 @@ def simple_paths(edges: DataFrame, key: str, max_length: int = 100) -> DataFrame
     step = step.join(tails, [key, "next"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
     roots = step.select(key, "tail").distinct().join(heads, [key, "tail"], "left_anti")
     paths = roots.withColumn("path", F.array("tail"))
-    found, length = [], 1
+    found = []
     while True:
         grown = paths.join(step, [key, "tail"]).filter(~F.array_contains("path", F.col("next")))
         grown = cut_lineage(
@@ -79,9 +75,6 @@ def simple_paths(edges: DataFrame, key: str, max_length: int = 100) -> DataFrame
         paths = grown.filter("goes_on").select(key, "path", "tail")
         if paths.isEmpty():
             return _union(found)
-        length += 1
-        if length > max_length:
-            raise ValueError(f"paths longer than max_length={max_length} remain open")
 
 
 def _in_degrees(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -130,13 +123,13 @@ def _best(paths: Column, keep: int) -> Column:
     return F.transform(F.slice(F.sort_array(keyed), 1, keep), lambda k: k["path"])
 
 
-def longest_paths(edges: DataFrame, key: str = "plan_id", keep: int = 3, max_length: int = 100) -> DataFrame:
+def longest_paths(edges: DataFrame, key: str = "plan_id", keep: int = 3) -> DataFrame:
     """The ``keep`` longest root-to-leaf paths per graph: ``key, position, path``.
 
     Acyclic graphs pass only the ``keep`` best partial paths from node to node:
     a path ranked lower at a node cannot rank higher further on, so the
     exponential number of paths is never listed. Graphs with a cycle, where that
-    argument fails, enumerate their simple paths up to ``max_length``.
+    argument fails, enumerate their simple paths.
     """
     outgoing = cut_lineage(edges.select(key, "source", "target").distinct())
     nodes = outgoing.select(key, F.explode(F.array("source", "target")).alias("node")).distinct()
@@ -175,7 +168,7 @@ def longest_paths(edges: DataFrame, key: str = "plan_id", keep: int = 3, max_len
     cyclic = pending.select(key).distinct()
     complete = [_union(leaves).join(cyclic, key, "left_anti")] if leaves else []
     if not cyclic.isEmpty():
-        complete.append(simple_paths(outgoing.join(cyclic, key, "left_semi"), key, max_length))
+        complete.append(simple_paths(outgoing.join(cyclic, key, "left_semi"), key))
     paths = _union(complete) if complete else outgoing.select(key, F.array("source").alias("path")).limit(0)
     order = Window.partitionBy(key).orderBy(F.desc(F.size("path")), "path")
     return paths.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= keep).select(

@@ -239,7 +239,7 @@ def change_set_risks(changes: DataFrame) -> DataFrame:
         F.when(F.col("n_changes") > LARGE_CHANGE_SET, F.struct(F.col("n_changes").alias("n"), _risk("R16").alias("risk"))),
     ))
     return sets.select("change_set_id", F.inline(raised)).select(
-        "change_set_id", F.lit(None).cast("int").alias("ordinal"), "risk.*",
+        "change_set_id", F.lit(None).cast("long").alias("ordinal"), "risk.*",
         F.lit(None).cast("string").alias("component"), F.col("n").alias("n_components"),
     )
 
@@ -271,15 +271,15 @@ def all_risks(changes: DataFrame) -> DataFrame:
 def distinct_risks(risks: DataFrame) -> DataFrame:
     """First risk per (type, description, component) of a change set.
 
-    Set-level risks come after those of single changes. The first emission
+    Set-level risks, whose ``ordinal`` is null, come after those of single changes. The first emission
     decides the severity, which is not part of the key.
     """
     emitted = F.struct(
-        F.coalesce("ordinal", F.lit(2147483647)).alias("ordinal"), "stage", "sub_ordinal", "rule_id", "severity",
+        F.col("ordinal").isNull().alias("of_set"), "ordinal", "stage", "sub_ordinal", "rule_id", "severity",
         "subject", "n_components",
     )
     first = risks.groupBy("change_set_id", "type", "description", "component").agg(F.min(emitted).alias("first"))
-    return first.select("change_set_id", "type", "description", "component", "first.*")
+    return first.select("change_set_id", "type", "description", "component", "first.*").drop("of_set")
 
 
 def priority(severity: Column | str = "severity", risk_type: Column | str = "type") -> Column:
@@ -294,13 +294,14 @@ def priority(severity: Column | str = "severity", risk_type: Column | str = "typ
     return score(severity, SEVERITY_SCORES) * 10 + score(risk_type, RISK_TYPE_SCORES)
 
 
-RISK_ORDER = ["ordinal", "stage", "sub_ordinal"]
+def risk_order() -> list[Column]:
+    return [F.asc_nulls_last("ordinal"), F.asc("stage"), F.asc("sub_ordinal")]
 
 
 def prioritized(risks: DataFrame) -> DataFrame:
     """Most urgent first within each change set; a range sort, so a large set is split."""
     scored = risks.withColumn("priority", priority())
-    return scored.orderBy("change_set_id", F.desc("priority"), *RISK_ORDER)
+    return scored.orderBy("change_set_id", F.desc("priority"), *risk_order())
 
 
 def regression_risks(changes: DataFrame) -> DataFrame:
@@ -326,7 +327,7 @@ def with_guidance(risks: DataFrame) -> DataFrame:
 
 def first_risks(risks: DataFrame, keys: list[str], limit: int, before: tuple[str, ...] = ()) -> DataFrame:
     """First ``limit`` risks per key with their ``position``: by ``before``, then most urgent first."""
-    order = Window.partitionBy(*keys).orderBy(*before, F.desc(priority()), *RISK_ORDER)
+    order = Window.partitionBy(*keys).orderBy(*before, F.desc(priority()), *risk_order())
     return risks.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
 
 

@@ -27,10 +27,10 @@ def priority_rank(priorities: Column) -> Column:
 
 
 def prioritized_steps(steps: DataFrame, requests: DataFrame) -> DataFrame:
-    """Steps with ``priority_rank``, in priority order within each plan."""
+    """Steps with ``priority_rank``: by it and ``ordinal`` a plan is in priority order."""
     wanted = requests.select("plan_id", "priorities")
     ranked = steps.join(wanted, "plan_id", "left").withColumn("priority_rank", priority_rank(F.col("priorities")))
-    return ranked.drop("priorities").orderBy("plan_id", "priority_rank", "ordinal")
+    return ranked.drop("priorities")
 
 
 def _needs(steps: DataFrame) -> DataFrame:
@@ -121,6 +121,6 @@ def first_steps(ordered: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
-def critical_paths(steps: DataFrame, keep: int = 3, max_length: int = 100) -> DataFrame:
+def critical_paths(steps: DataFrame, keep: int = 3) -> DataFrame:
     """The longest chains of exact dependencies per plan."""
-    return graphs.longest_paths(exact_dependencies(steps), "plan_id", keep, max_length)
+    return graphs.longest_paths(exact_dependencies(steps), "plan_id", keep)

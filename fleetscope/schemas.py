@@ -9,11 +9,11 @@ from .catalogue import SAFETY_LEVELS, SEVERITIES, STEP_TYPES
 
 SOURCE_FILES = "repo_id STRING, service STRING, path STRING, content STRING"
 CHANGES = (
-    "change_set_id STRING, ordinal INT, file_path STRING, change_type STRING, diff STRING, "
+    "change_set_id STRING, ordinal BIGINT, file_path STRING, change_type STRING, diff STRING, "
     "line_changes MAP<STRING,INT>, semantic_changes ARRAY<STRING>"
 )
 STEPS = (
-    "plan_id STRING, ordinal INT, id STRING, type STRING, description STRING, target_files ARRAY<STRING>, "
+    "plan_id STRING, ordinal BIGINT, id STRING, type STRING, description STRING, target_files ARRAY<STRING>, "
     "dependencies ARRAY<STRING>, estimated_effort INT, risk_level STRING, rollback_strategy STRING, "
     "validation_steps ARRAY<STRING>, commit_message STRING"
 )

@@ -98,7 +98,7 @@ def test_priorities(spark):
     wanted = spark.createDataFrame([("p", ["database", "api", "database"])], "plan_id string, priorities array<string>")
     got = ordering.prioritized_steps(items, wanted)
     # A priority named twice counts with its last place.
-    assert [(r.ordinal, r.priority_rank) for r in got.collect()] == [(0, 1), (1, 2), (3, 2), (2, 3)]
+    assert rows(got, "priority_rank", "ordinal") == [(1, 0), (2, 1), (2, 3), (3, 2)]
     none = spark.createDataFrame([("p", None)], "plan_id string, priorities array<string>")
     assert rows(ordering.prioritized_steps(items, none), "priority_rank") == [(0,)] * 4
 

@@ -135,7 +135,8 @@ def test_progress_stops_at_the_first_failure(spark):
         "plan_id string, ordinal int, step_id string, success boolean, n_severe_risks long")
     assert rows(commits.execution_progress(results), "step_id", "position", "total", "percent") == [
         ("s0", 1, 4, 25.0), ("s1", 2, 4, 50.0), ("t", 1, 1, 100.0)]
-    assert rows(commits.execution_summary(results), "plan_id", "n_succeeded", "n_steps") == [("p", 3, 4), ("q", 1, 1)]
+    assert rows(commits.execution_summary(results), "plan_id", "n_succeeded", "n_steps") == [("p", 2, 3), ("q", 1, 1)]
+    assert rows(commits.executed(results), "step_id") == [("s0",), ("s1",), ("s2",), ("t",)]
 
 
 def test_running_positions_over_chunks(spark):
@@ -148,7 +149,10 @@ def test_running_positions_over_chunks(spark):
 def test_release_tables(spark):
     edited = changes(spark, "api/a.py")
     records = commits.commit_records(step(spark, "Same", message="Same"), edited, one_risk(spark))
-    assert commits.release_commits(records).first().body_head == "Changes:\n- Modified 1 files (+10/-5 lines)"
+    results = commits.step_results(step(spark, "Same", message="Same"), records, one_risk(spark))
+    assert commits.release_commits(records, results).isEmpty()  # the gate refuses this header
+    passed = results.withColumn("success", F.lit(True))
+    assert commits.release_commits(records, passed).first().body_head == "Changes:\n- Modified 1 files (+10/-5 lines)"
     top = commits.release_risks(step(spark), one_risk(spark)).first()
     assert top.mitigation == "Ensure backward compatibility or version the API"
     assert rows(commits.first_test_suggestions(step(spark), one_risk(spark), limit=2), "position", "suggestion") == [

@@ -130,13 +130,18 @@ def test_cycles(random_graphs, edge_table):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
-def test_self_loop_and_bound(spark):
+def test_self_loop(spark):
     ring = spark.createDataFrame([("p", f"n{i}", f"n{(i + 1) % 6}") for i in range(6)] + [("p", "n9", "n9")],
                                  "plan_id string, source string, target string")
     got = sorted(r.cycle for r in graphs.simple_cycles(ring, "plan_id").collect())
     assert got == [["n0", "n1", "n2", "n3", "n4", "n5"], ["n9"]]
-    with pytest.raises(ValueError):
-        graphs.simple_cycles(ring, "plan_id", max_length=3)
+
+
+def test_long_ring_beside_a_small_graph(spark):
+    data = [("long", f"n{i:03d}", f"n{(i + 1) % 110:03d}") for i in range(110)] + [("small", "a", "b"), ("small", "b", "a")]
+    edges = spark.createDataFrame(data, "plan_id string, source string, target string")
+    got = {r.plan_id: len(r.cycle) for r in graphs.simple_cycles(edges, "plan_id").collect()}
+    assert got == {"long": 110, "small": 2}
 
 
 def test_no_edges(spark):

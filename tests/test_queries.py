@@ -25,7 +25,7 @@ def plain(value):
     return round(value, 9) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(oracle_sql()))
 def test_query(spark, duck, name):
     got = queries()[name](spark, SF)
     result = duck.execute(oracle_sql()[name])

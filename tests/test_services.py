@@ -66,6 +66,21 @@ def test_mentions_are_whole_segments(spark):
     assert got == [("b", "a", "/api/users", 1), ("b", "a", "/users/all", 1), ("b", "a", "/v/", 1), ("b", "a", "plain/x", 1)]
 
 
+def test_a_declaration_is_no_call(spark):
+    data = [("r", s, f"{s}.py", "@app.get('/health')\ndef up(): pass\n") for s in "abcde"]
+    found = facts.file_facts(spark.createDataFrame(data, FILES)).cache()
+    assert dependencies.endpoint_dependencies(facts.endpoints(found), found).isEmpty()
+    data.append(("r", "f", "f.py", "get('http://h/health')\n"))
+    found = facts.file_facts(spark.createDataFrame(data, FILES)).cache()
+    assert rows(dependencies.endpoint_dependencies(facts.endpoints(found), found), "source", "target") == [("f", s) for s in "abcde"]
+
+
+def test_files_that_do_not_parse_still_make_a_service(spark):
+    data = [("r", "a", "a.py", "x = 1\n"), ("r", "b", "b.py", "def (\n")]
+    found = facts.file_facts(spark.createDataFrame(data, FILES)).cache()
+    assert rows(rollups.service_rollup(found, found), "service", "n_files") == [("a", 1), ("b", 0)]
+
+
 def test_long_paths_are_compared_in_full(spark):
     long = "/" + "/".join(f"s{i}" for i in range(12))
     other = "/" + "/".join(f"s{i}" for i in range(11)) + "/t"

@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetscope.catalogue import STEP_TYPES
+
 _NL = "chr(10)"
 
 
@@ -78,7 +80,8 @@ _CHANGE_TYPE = (
 # --- source files, from lineitem ---------------------------------------------
 
 _REPO = "'repo' || " + _s("CAST(floor(l_suppkey / 20) AS BIGINT)")
-_SVC = "CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey % 20 END"
+# Service 20 holds only files that do not parse.
+_SVC = "CASE WHEN l_orderkey % 303 = 0 THEN 20 WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey % 20 END"
 
 CONTENT_LINES = [
     ("'import requests'", "k % 2 = 0"),
@@ -90,6 +93,8 @@ CONTENT_LINES = [
      "CAST(p % 50 AS STRING) || '\")'", "k % (40 + 8 * svc) = 0"),
     ("'@router.delete(\"/v2/q/' || CAST(p % 40 AS STRING) || '\")'", "k % 180 = 1"),
     ("'@api.resource(\"/r/' || CAST(p % 30 AS STRING) || '\")'", "k % 240 = 2"),
+    # A route that services of all kinds declare and one service calls.
+    ("'@app.get(\"/v1/health\")'", "k % 200 = 4"),
     ("'def h(a, b=1, *args, c=2) -> m.T:'", None),
     ("'    x = \"SELECT x FROM ' || CASE WHEN svc % 5 = 4 THEN 'solo' || CAST(svc AS STRING) "
      "ELSE 't' || CAST(svc + p % 2 AS STRING) END || '\"'", "k % 20 = 1"),
@@ -98,6 +103,7 @@ CONTENT_LINES = [
     ("'    User.objects.filter(a)'", "k % 25 = 0"),
     ("'    requests.get(\"http://h/v1/p/' || CAST(p % 20 AS STRING) || '/' || CAST(k % 50 AS STRING) || '/x\")'",
      "k % 30 = 0"),
+    ("'    requests.get(\"http://h/v1/health\")'", "k % 30 = 10 AND svc = 3"),
     ("'    redis.Redis(a)'", "k % 35 = 0"),
     ("'    if a and b or x:'", "n % 2 = 0"),
     ("'    while a:'", "n % 2 = 1"),
@@ -118,22 +124,18 @@ _CONTENT = _text(*CONTENT_LINES)
 
 # --- steps, from part ----------------------------------------------------------
 
-_STEP_TYPES = (
-    "extract_service merge_services split_service rename restructure dependency_injection interface_extraction "
-    "database_migration api_versioning remove_dead_code"
-).split()
-_STEP_TYPE = "CASE p_size % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_STEP_TYPES)) + " END"
+_STEP_TYPE = "CASE p_size % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(STEP_TYPES)) + " END"
 
 VIEWS = {
     "code_changes": f"""
-SELECT {_CHANGE_SET} AS change_set_id, CAST(event_id AS INT) AS ordinal, {_CHANGE_PATH} AS file_path,
+SELECT {_CHANGE_SET} AS change_set_id, CAST(event_id AS BIGINT) AS ordinal, {_CHANGE_PATH} AS file_path,
        {_CHANGE_TYPE} AS change_type, {_DIFF} AS diff,
        CAST(event_id % 7 AS INT) AS n_added, CAST(event_id % 5 AS INT) AS n_removed,
        CASE WHEN event_id % 4 > 0 THEN 'Touched part ' || {_s("event_id % 9")} END AS semantic_change
 FROM events""",
     # Whole documents as added lines of one change each.
     "text_changes": """
-SELECT source AS change_set_id, CAST(doc_id AS INT) AS ordinal, lang || '/' || CAST(doc_id AS STRING) AS file_path,
+SELECT source AS change_set_id, CAST(doc_id AS BIGINT) AS ordinal, lang || '/' || CAST(doc_id AS STRING) AS file_path,
        'modify' AS change_type, '+' || replace(text, chr(10), chr(10) || '+') AS diff
 FROM documents""",
     # Whole documents, each closed by a query on its source.
@@ -155,7 +157,7 @@ SELECT repo_id, service, path, {_CONTENT} AS content, k AS ordinal_key FROM file
     "part_keys": """
 SELECT CAST(floor(p_partkey / 80) AS BIGINT) AS pl, p_partkey % 80 AS o, p_partkey, p_name, p_size FROM part""",
     "plan_steps": f"""
-SELECT 'p' || CAST(pl AS STRING) AS plan_id, CAST(o AS INT) AS ordinal,
+SELECT 'p' || CAST(pl AS STRING) AS plan_id, CAST(o AS BIGINT) AS ordinal,
        CASE WHEN o = 79 THEN 's20' WHEN o >= 70 THEN 'w' || CAST(o AS STRING) ELSE 's' || CAST(o AS STRING) END AS id,
        {_STEP_TYPE} AS type,
        CASE WHEN o % 6 = 0 THEN 'Add ' WHEN o % 6 = 1 THEN 'Move ' ELSE '' END || p_name AS description,
@@ -207,9 +209,9 @@ SELECT DISTINCT repo_id, 'svc' || CAST(x AS STRING) AS source, 'svc' || CAST(y A
 WHERE x <> y""",
     # One refactoring step per customer; the change set of the same number, if any.
     "commit_steps": f"""
-SELECT 'n' || CAST(c_nationkey AS STRING) AS plan_id, CAST(c_custkey AS INT) AS ordinal,
+SELECT 'n' || CAST(c_nationkey AS STRING) AS plan_id, CAST(c_custkey AS BIGINT) AS ordinal,
        'step-' || CAST(c_custkey AS STRING) AS id, 'c' || CAST(c_custkey AS STRING) AS change_set_id,
-       CASE c_custkey % 10 {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_STEP_TYPES))} END AS type,
+       CASE c_custkey % 10 {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(STEP_TYPES))} END AS type,
        CASE c_custkey % 7 WHEN 0 THEN 'Implement ' WHEN 1 THEN 'fix ' WHEN 2 THEN 'Move ' WHEN 3 THEN 'Update '
          WHEN 4 THEN 'Extract ' WHEN 5 THEN 'Rework ' ELSE 'Split ' END
        || lower(c_mktsegment) || ' module'
@@ -238,6 +240,7 @@ TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 ]
+TEXT_TABLES = ["documents", "pages", "benchmark", "conversations"]
 
 
 def _uses(sql: str, names) -> list[str]:
@@ -249,7 +252,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         # A small driver table is one row group, hence one task. The views expand
-        # rows to text, so spread its narrow rows over idle cores first.
+        # rows to text, so spread its narrow rows over idle cores first. Text stays in its scan.
+        if name in TEXT_TABLES:
+            return table
         cores = spark.sparkContext.defaultParallelism
         return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
     sql = VIEWS[name]

@@ -154,7 +154,7 @@ FROM (
     SELECT change_set_id, ordinal, stage, sub_ordinal, rule_id, type, severity, description, subject, component,
            1 AS n_components FROM o_risks
     UNION ALL
-    SELECT change_set_id, 2147483647, CASE rule_id WHEN 'R15' THEN 15 ELSE 16 END, 0, rule_id, type, severity,
+    SELECT change_set_id, NULL, CASE rule_id WHEN 'R15' THEN 15 ELSE 16 END, 0, rule_id, type, severity,
            description, NULL, NULL, n_components FROM o_set_risks) AS a) AS n
 WHERE nth = 1"""
 BODIES["distinct_risks"] = """
@@ -164,9 +164,6 @@ _priority = (
     " + CASE type WHEN 'security' THEN 4 WHEN 'api_change' THEN 3 WHEN 'behavior_change' THEN 2"
     " WHEN 'performance' THEN 1 ELSE 0 END AS INTEGER)"
 )
-BODIES["regression_risks"] = f"""
-SELECT change_set_id, {_priority} AS priority, ordinal, stage, sub_ordinal, rule_id, type, severity, description, component
-FROM o_found"""
 
 # --- facts: structure follows from how the binding writes its files ---------------------
 
@@ -201,7 +198,7 @@ BODIES["classes"] = f"""
 SELECT repo_id, service, path, 'C' || CAST(p % 5 AS STRING) AS name, 'm1' AS methods, 'Base,m.Mixin,unknown' AS bases,
        CASE WHEN k % 16 = 0 THEN 'reg.add' ELSE '' END AS decorators, {line_of("class C")} AS line_number
 FROM ok_keys WHERE k % 8 = 0"""
-_marks = ["k % (40 + 8 * svc) = 0", "k % 180 = 1", "k % 240 = 2"]
+_marks = ["k % (40 + 8 * svc) = 0", "k % 180 = 1", "k % 240 = 2", "k % 200 = 4"]
 BODIES["functions"] = f"""
 SELECT repo_id, service, path, 'h' AS name, 'a,b' AS args,
        concat_ws(',', {", ".join(f"CASE WHEN {m} THEN 'unknown' END" for m in _marks)}) AS decorators, 'm.T' AS returns,
@@ -287,8 +284,10 @@ BODIES["service_rollup"] = "SELECT * FROM o_rollup"
 BODIES["mean_complexity"] = "SELECT repo_id, service, complexity / greatest(n_files, 1) AS mean_complexity FROM o_rollup"
 BODIES["service_tables"] = "SELECT * FROM o_tables"
 BODIES["service_libraries"] = "SELECT DISTINCT repo_id, service, library FROM o_libraries"
+# The calls as the binding writes them; a declared route is none.
 PARTS["o_mentions"] = """
-SELECT DISTINCT repo_id, service, unnest(regexp_extract_all(content, '/[^\\s''"`?#,;()]+')) AS mention FROM ok_files"""
+SELECT DISTINCT repo_id, service, '//h/v1/p/' || (p % 20) || '/' || (k % 50) || '/x' AS mention FROM ok_keys WHERE k % 30 = 0
+UNION SELECT DISTINCT repo_id, service, '//h/v1/health' FROM ok_keys WHERE k % 30 = 10 AND svc = 3"""
 PARTS["o_dependencies"] = """
 SELECT e.repo_id, m.service AS source, e.service AS target, e.path, 'api' AS dependency_type,
        CAST(0.7 AS DOUBLE) AS strength, e.declarations
@@ -316,7 +315,7 @@ SELECT r.repo_id, total_services, coalesce(total_dependencies, 0) AS total_depen
        coalesce(total_dependencies, 0) / greatest(total_services * (total_services - 1), 1) AS coupling_score,
        n_endpoints / greatest(total_services, 1) AS avg_endpoints_per_service, max_centrality, avg_centrality
 FROM (SELECT repo_id, count(*) AS total_services, CAST(sum(complexity) AS BIGINT) AS complexity,
-             CAST(sum(n_endpoints) AS BIGINT) AS n_endpoints FROM o_rollup WHERE n_files > 0 GROUP BY repo_id) AS r
+             CAST(sum(n_endpoints) AS BIGINT) AS n_endpoints FROM o_rollup GROUP BY repo_id) AS r
 LEFT JOIN (SELECT repo_id, CAST(sum(declarations) AS BIGINT) AS total_dependencies FROM o_dependencies GROUP BY repo_id) AS d
   ON r.repo_id = d.repo_id
 LEFT JOIN (SELECT repo_id, max(centrality) AS max_centrality, avg(centrality) AS avg_centrality FROM o_centrality
@@ -325,7 +324,7 @@ BODIES["fleet_metrics"] = "SELECT * REPLACE (round(avg_centrality, 9) AS avg_cen
 PARTS["o_dependents"] = """
 SELECT r.repo_id, r.service, CAST(coalesce(sum(d.declarations), 0) AS BIGINT) AS n_dependents
 FROM o_rollup AS r LEFT JOIN o_dependencies AS d ON r.repo_id = d.repo_id AND r.service = d.target
-WHERE r.n_files > 0 GROUP BY r.repo_id, r.service"""
+GROUP BY r.repo_id, r.service"""
 BODIES["dependents"] = "SELECT * FROM o_dependents"
 PARTS["o_shared"] = """
 SELECT t.repo_id, t."table", t.service, n_services
@@ -390,12 +389,12 @@ FROM o_rollup WHERE n_tables > 0 GROUP BY repo_id HAVING count(*) > 1"""
 BODIES["high_coupling"] = """
 SELECT c.repo_id, 'high_coupling' AS type, service, centrality AS risk_score,
        service || ' is highly coupled with ' || CAST(floor(centrality * n) AS BIGINT) || ' other services' AS description
-FROM o_centrality AS c JOIN (SELECT repo_id, count(*) AS n FROM o_rollup WHERE n_files > 0 GROUP BY repo_id) AS s
+FROM o_centrality AS c JOIN (SELECT repo_id, count(*) AS n FROM o_rollup GROUP BY repo_id) AS s
   ON c.repo_id = s.repo_id WHERE centrality > 0.5"""
 BODIES["single_points_of_failure"] = """
 SELECT d.repo_id, 'single_point_of_failure' AS type, service, n_dependents / n AS risk_score,
        service || ' is a dependency for ' || n_dependents || ' services' AS description
-FROM o_dependents AS d JOIN (SELECT repo_id, count(*) AS n FROM o_rollup WHERE n_files > 0 GROUP BY repo_id) AS s
+FROM o_dependents AS d JOIN (SELECT repo_id, count(*) AS n FROM o_rollup GROUP BY repo_id) AS s
   ON d.repo_id = s.repo_id WHERE n_dependents > n * 0.5"""
 
 # --- backlog ------------------------------------------------------------------------------
@@ -428,15 +427,20 @@ SELECT plan_id, source, target FROM o_exact
 UNION SELECT plan_id, source, 'wildcard ' || needs FROM o_wild
 UNION SELECT plan_id, 'wildcard ' || needs, target FROM o_wild"""
 PARTS["o_direct"] = "SELECT plan_id, source, target FROM o_exact UNION SELECT plan_id, source, target FROM o_wild"
+PARTS["o_nodes"] = "SELECT plan_id, count(DISTINCT id) AS n FROM plan_steps GROUP BY plan_id"
+# A walk of as many steps as the plan has nodes goes round a cycle.
 PARTS["o_reach"] = """
 SELECT DISTINCT plan_id, id, 0 AS level FROM plan_steps
 UNION
 SELECT r.plan_id, d.target, r.level + 1 FROM o_reach AS r
-JOIN o_direct AS d ON r.plan_id = d.plan_id AND r.id = d.source WHERE r.level < 90"""
+JOIN o_direct AS d ON r.plan_id = d.plan_id AND r.id = d.source
+JOIN o_nodes AS n ON r.plan_id = n.plan_id WHERE r.level < n.n"""
 PARTS["o_levels"] = """
-SELECT plan_id, id, CAST(max(level) AS INTEGER) AS level FROM o_reach GROUP BY plan_id, id HAVING max(level) < 90"""
+SELECT r.plan_id, r.id, CAST(max(r.level) AS INTEGER) AS level FROM o_reach AS r JOIN o_nodes AS n ON r.plan_id = n.plan_id
+GROUP BY r.plan_id, r.id, n.n HAVING max(r.level) < n.n"""
 BODIES["step_levels"] = "SELECT * FROM o_levels"
-PARTS["o_cyclic"] = "SELECT DISTINCT plan_id FROM o_reach WHERE level = 90"
+PARTS["o_cyclic"] = """
+SELECT DISTINCT r.plan_id FROM o_reach AS r JOIN o_nodes AS n ON r.plan_id = n.plan_id WHERE r.level = n.n"""
 
 
 def _ordered(source: str) -> str:
@@ -573,7 +577,8 @@ BODIES["run_summary"] = """
 SELECT p.plan_id, p.repo_id, p.target_architecture, p.safety_level, total_services, total_dependencies,
        coalesce(s.n, 0) AS n_smells, avg_service_complexity, n_steps, total_effort
 FROM o_plans AS p LEFT JOIN o_metrics AS m ON p.repo_id = m.repo_id
-LEFT JOIN (SELECT repo_id, count(*) AS n FROM o_smells GROUP BY repo_id) AS s ON p.repo_id = s.repo_id"""
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM (SELECT * FROM o_smells UNION ALL SELECT * FROM o_shared_smells) AS a
+           GROUP BY repo_id) AS s ON p.repo_id = s.repo_id"""
 
 # --- commits ------------------------------------------------------------------------------
 
@@ -627,7 +632,7 @@ PARTS["o_severe"] = _top_lines(_severe, "'- ' || type || ': ' || description", 3
 PARTS["o_breaking"] = _top_lines(f"type = 'api_change' AND {_severe}", "'  - ' || description", 2)
 PARTS["o_headed"] = f"""
 SELECT s.*, n_changes, lines_added, lines_removed, summary, scope, {_type_of('s.description', 's.type')} AS kind,
-       regexp_replace(lower(s.description), '^(implement|create|add|update|refactor|fix) ', '') AS action,
+       regexp_replace(lower(s.description), '^({'|'.join(c.LEADING_VERBS)}) ', '') AS action,
        string_split(checks, ',') AS check_list
 FROM commit_steps AS s JOIN o_summary AS c ON s.change_set_id = c.change_set_id
 JOIN o_scopes AS p ON s.change_set_id = p.change_set_id"""
@@ -676,9 +681,15 @@ LEFT JOIN (SELECT plan_id, step_id, message, lines_added, lines_removed, n_chang
 LEFT JOIN (SELECT change_set_id, count(*) AS n_risks, count(*) FILTER ({_severe}) AS n_severe_risks FROM o_found
            GROUP BY change_set_id) AS r ON s.change_set_id = r.change_set_id"""
 BODIES["step_results"] = "SELECT * FROM o_results"
+# A run ends with its first failure.
+PARTS["o_executed"] = """
+SELECT r.* FROM o_results AS r
+WHERE NOT EXISTS (SELECT 1 FROM o_results AS f WHERE f.plan_id = r.plan_id AND NOT f.success AND f.ordinal < r.ordinal)"""
+PARTS["o_run_steps"] = """
+SELECT s.* FROM commit_steps AS s JOIN o_executed AS x ON s.plan_id = x.plan_id AND s.id = x.step_id"""
 BODIES["execution_summary"] = """
 SELECT plan_id, count(*) AS n_steps, count(*) FILTER (success) AS n_succeeded,
-       CAST(sum(n_severe_risks) AS BIGINT) AS n_severe_risks FROM o_results GROUP BY plan_id"""
+       CAST(sum(n_severe_risks) AS BIGINT) AS n_severe_risks FROM o_executed GROUP BY plan_id"""
 BODIES["execution_progress"] = """
 SELECT plan_id, step_id, position, total, position / total * 100 AS percent, n_severe_risks FROM (
   SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY ordinal) AS position,
@@ -693,24 +704,31 @@ FROM commit_steps AS s LEFT JOIN (SELECT change_set_id, severity, count(*) AS n
   ON s.change_set_id = r.change_set_id"""
 BODIES["release_commits"] = """
 SELECT plan_id, ordinal, message, array_to_string(list_filter(list_slice(string_split(body, chr(10)), 1, 3),
-       lambda l: trim(l) <> ''), chr(10)) AS body_head FROM o_commits"""
+       lambda l: trim(l) <> ''), chr(10)) AS body_head FROM o_commits AS c
+WHERE EXISTS (SELECT 1 FROM o_executed AS x WHERE x.plan_id = c.plan_id AND x.step_id = c.step_id AND x.success)"""
 
 
 def _by_rule(value) -> str:
     return "CASE rule_id " + " ".join(f"WHEN {q(r.rule_id)} THEN {value(r)}" for r in c.RISK_RULES) + " END"
 
 
+_tests = _by_rule(lambda r: "[" + ", ".join(map(q, r.tests)) + "]")
+BODIES["regression_risks"] = f"""
+SELECT change_set_id, {_priority} AS priority, ordinal, stage, sub_ordinal, rule_id, type, severity, description, component,
+       {_by_rule(lambda r: q(r.mitigation))} AS mitigation,
+       array_to_string(list_transform({_tests}, lambda t: replace(t, '{{}}', coalesce(subject, ''))), '; ') AS tests
+FROM o_found"""
 BODIES["release_risks"] = f"""
 SELECT plan_id, position, type, severity, description, {_by_rule(lambda r: q(r.mitigation))} AS mitigation FROM (
   SELECT s.plan_id, r.*, CAST(row_number() OVER (PARTITION BY s.plan_id
            ORDER BY s.ordinal, {_priority.replace('severity', 'r.severity').replace('CASE type', 'CASE r.type')} DESC,
                     r.ordinal, r.stage, r.sub_ordinal) AS INTEGER) AS position
-  FROM o_found AS r JOIN commit_steps AS s ON r.change_set_id = s.change_set_id WHERE {_severe}) AS p
+  FROM o_found AS r JOIN o_run_steps AS s ON r.change_set_id = s.change_set_id WHERE {_severe}) AS p
 WHERE position <= 5"""
 PARTS["o_suggestions"] = f"""
 SELECT DISTINCT plan_id, replace(t, '{{}}', coalesce(subject, '')) AS suggestion FROM (
   SELECT s.plan_id, r.subject, unnest({_by_rule(lambda r: '[' + ', '.join(map(q, r.tests)) + ']')}) AS t
-  FROM o_found AS r JOIN commit_steps AS s ON r.change_set_id = s.change_set_id) AS u"""
+  FROM o_found AS r JOIN o_run_steps AS s ON r.change_set_id = s.change_set_id) AS u"""
 BODIES["test_suggestions"] = "SELECT * FROM o_suggestions"
 BODIES["first_test_suggestions"] = """
 SELECT plan_id, suggestion, position FROM (

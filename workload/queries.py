@@ -46,8 +46,8 @@ def stored_facts(spark: SparkSession, sf: str) -> DataFrame:
     return cut_lineage(file_facts(spark, sf))
 
 
-def structure(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.structure_facts(view(spark, sf, "code_files"))
+def structure(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
+    return facts.structure_facts(view(spark, sf, "code_files"), *fields)
 
 
 def _csv(column: str) -> F.Column:
@@ -126,9 +126,10 @@ def distinct_risks(spark, sf):
 
 @query
 def regression_risks(spark, sf):
-    return risks.regression_risks(view(spark, sf, "code_changes")).select(
+    found = risks.with_guidance(risks.regression_risks(view(spark, sf, "code_changes")))
+    return found.select(
         "change_set_id", "priority", "ordinal", "stage", "sub_ordinal", "rule_id", "type", "severity", "description",
-        "component",
+        "component", "mitigation", F.array_join("test_suggestions", "; ").alias("tests"),
     )
 
 
@@ -137,22 +138,22 @@ def regression_risks(spark, sf):
 
 @query
 def file_complexity(spark, sf):
-    return structure(spark, sf).select("repo_id", "path", F.col("error").isNull().alias("parses"), "complexity")
+    return structure(spark, sf, "error", "complexity").select("repo_id", "path", F.col("error").isNull().alias("parses"), "complexity")
 
 
 @query
 def imports(spark, sf):
-    return facts.imports(structure(spark, sf))
+    return facts.imports(structure(spark, sf, "imports"))
 
 
 @query
 def classes(spark, sf):
-    return _joined(facts.classes(structure(spark, sf)), "methods", "bases", "decorators")
+    return _joined(facts.classes(structure(spark, sf, "classes")), "methods", "bases", "decorators")
 
 
 @query
 def functions(spark, sf):
-    return _joined(facts.functions(structure(spark, sf)), "args", "decorators")
+    return _joined(facts.functions(structure(spark, sf, "functions")), "args", "decorators")
 
 
 @query
@@ -203,7 +204,7 @@ def service_rollup(spark, sf):
 
 @query
 def mean_complexity(spark, sf):
-    rolled = rollups.service_rollup(file_facts(spark, sf))
+    rolled = rollups.service_rollup(file_facts(spark, sf), view(spark, sf, "code_files"))
     return rolled.select("repo_id", "service", rollups.mean_complexity().alias("mean_complexity"))
 
 
@@ -224,7 +225,7 @@ def _dependencies(found: DataFrame) -> DataFrame:
 def _metrics(found: DataFrame) -> DataFrame:
     calls = cut_lineage(_dependencies(found))
     central = dependencies.degree_centrality(dependencies.dependency_edges(calls))
-    return rollups.fleet_metrics(rollups.service_rollup(found), calls, central)
+    return rollups.fleet_metrics(rollups.service_rollup(found, found), calls, central)
 
 
 @query
@@ -251,7 +252,7 @@ def fleet_metrics(spark, sf):
 @query
 def dependents(spark, sf):
     found = stored_facts(spark, sf)
-    return dependencies.dependents(rollups.service_rollup(found), _dependencies(found))
+    return dependencies.dependents(rollups.service_rollup(found, found), _dependencies(found))
 
 
 @query
@@ -274,13 +275,15 @@ def shared_database_smells(spark, sf):
     return smells.shared_database_smells(dependencies.shared_tables(rollups.service_tables(stored_facts(spark, sf))))
 
 
+def _smells(found: DataFrame) -> DataFrame:
+    shared = smells.shared_database_smells(dependencies.shared_tables(rollups.service_tables(found)))
+    return smells.service_smells(rollups.service_rollup(found)).unionByName(shared)
+
+
 @query
 def smells_by_type(spark, sf):
     found = stored_facts(spark, sf)
-    every = smells.service_smells(rollups.service_rollup(found)).unionByName(
-        smells.shared_database_smells(dependencies.shared_tables(rollups.service_tables(found)))
-    )
-    return every.groupBy("repo_id", "type").agg(F.count("*").alias("n_smells"))
+    return _smells(found).groupBy("repo_id", "type").agg(F.count("*").alias("n_smells"))
 
 
 @query
@@ -312,13 +315,13 @@ def database_advice(spark, sf):
 def high_coupling(spark, sf):
     found = stored_facts(spark, sf)
     central = dependencies.degree_centrality(dependencies.dependency_edges(_dependencies(found)))
-    return smells.high_coupling(central, rollups.service_rollup(found))
+    return smells.high_coupling(central, rollups.service_rollup(found, found))
 
 
 @query
 def single_points_of_failure(spark, sf):
     found = stored_facts(spark, sf)
-    return smells.single_points_of_failure(dependencies.dependents(rollups.service_rollup(found), _dependencies(found)))
+    return smells.single_points_of_failure(dependencies.dependents(rollups.service_rollup(found, found), _dependencies(found)))
 
 
 # --- backlog ----------------------------------------------------------------------
@@ -453,7 +456,7 @@ def run_summary(spark, sf):
     plans = requests(spark, sf)
     totals = assembly.plan_totals(_backlog(found, plans))
     totalled = plans.join(totals, "plan_id", "left").fillna(0, ["n_steps", "total_effort"])
-    return assembly.run_summary(totalled, _metrics(found), smells.service_smells(rollups.service_rollup(found)))
+    return assembly.run_summary(totalled, _metrics(found), _smells(found))
 
 
 # --- commits and releases ------------------------------------------------------------
@@ -473,6 +476,14 @@ def _results(spark, sf):
     return commits.step_results(commit_steps(spark, sf), _commits(spark, sf, found), found)
 
 
+def _run(spark, sf):
+    """The executed steps, and all risks."""
+    found = stored_risks(spark, sf)
+    planned = commit_steps(spark, sf)
+    results = commits.step_results(planned, _commits(spark, sf, found), found)
+    return commits.executed_steps(planned, results), found
+
+
 @query
 def change_summary(spark, sf):
     summed = commits.change_set_summary(changes(spark, sf))
@@ -542,19 +553,21 @@ def severity_report(spark, sf):
 
 @query
 def release_commits(spark, sf):
-    return commits.release_commits(_commits(spark, sf))
+    found = stored_risks(spark, sf)
+    made = cut_lineage(_commits(spark, sf, found))
+    return commits.release_commits(made, commits.step_results(commit_steps(spark, sf), made, found))
 
 
 @query
 def release_risks(spark, sf):
-    return commits.release_risks(commit_steps(spark, sf), found_risks(spark, sf))
+    return commits.release_risks(*_run(spark, sf))
 
 
 @query
 def test_suggestions(spark, sf):
-    return commits.test_suggestions(commit_steps(spark, sf), found_risks(spark, sf))
+    return commits.test_suggestions(*_run(spark, sf))
 
 
 @query
 def first_test_suggestions(spark, sf):
-    return commits.first_test_suggestions(commit_steps(spark, sf), found_risks(spark, sf))
+    return commits.first_test_suggestions(*_run(spark, sf))
