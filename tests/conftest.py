@@ -13,9 +13,3 @@ def spark():
     session = local_session(8, partitions=2)
     yield session
     session.stop()
-
-
-def rows(df, *columns):
-    """Rows of ``columns`` as sorted tuples."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

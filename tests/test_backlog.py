@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 
 from fleetscope.catalogue import BASE_CRITERIA, STEP_TEMPLATES
 from fleetscope.plans import assembly, backlog, ordering

@@ -1,6 +1,6 @@
 import random
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from fleetscope.operators import commits, risks

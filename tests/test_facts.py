@@ -1,6 +1,6 @@
 import ast
 
-from conftest import rows
+from helpers import rows
 
 from fleetscope.functions import python_ast
 from fleetscope.operators import facts

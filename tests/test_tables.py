@@ -1,6 +1,6 @@
 import datetime
 
-from conftest import rows
+from helpers import rows
 
 from fleetscope.operators.risks import change_risks
 from fleetscope.schemas import CHANGES
