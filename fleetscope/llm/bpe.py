@@ -1,57 +1,41 @@
 """Byte-level BPE encoding and decoding with a local rank file.
 
-A text is cut where a match of the split pattern is sure to end: before a blank or
-line break that follows a character which is no white space. Cutting there changes no
-match, so each piece is encoded alone and pieces seen before come from a cache. That
-keeps memory bounded on long texts and encodes a repeated piece once per worker.
+A long text is cut where a match of the split pattern is sure to end: before a blank or
+line break that follows a printable ASCII character, or between closing punctuation and a
+letter. Cutting there changes no match, so the segments' ids are the text's ids and the library never
+holds more than a segment. Decoding joins the raw bytes of the ids.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
-import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, chunks, only, per_worker, vocabulary
+from .common import chunks, only, per_worker, text_chunks, vocabulary
 
-#: White space after which a blank may continue the same match.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-_PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+#: Characters a segment holds at least before it is cut.
+SEGMENT = 1 << 16
+#: Before white space, or before a letter (ASCII, Han, kana, Hangul) that follows punctuation other than an apostrophe.
+_SAFE = re.compile("(?<=[!-~])(?=[ \n])|(?<=[.,;:!?。、，！？])(?=[A-Za-z一-龥ぁ-ゖァ-ヺ가-힣])")
 
 
-def pieces(text: str) -> list[str]:
-    """``text`` cut at safe boundaries; concatenating the pieces gives it back."""
-    if _OTHER_SPACE.search(text) is None:
-        return _PIECE.findall(text)
-    # Odd white space: cut only where a plain word character stands before a blank.
-    return re.split(r"(?<=[A-Za-z0-9.,;])(?=[ \n])", text)
+def segments(text: str, size: int = SEGMENT) -> list[str]:
+    """``text`` cut at the first safe boundary after every ``size`` characters; concatenating gives it back.
 
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-class PieceCache(dict):
-    """Piece to its ids as packed little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        super().__init__()
-        self.encode = encode
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        split = [pieces(t) for t in texts]
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        missing = list({p for s in split for p in s if p not in self})
-        for piece, ids in zip(missing, self.encode(missing), strict=True):
-            self[piece] = _packed(ids)
-        return [b"".join(map(self.__getitem__, s)) for s in split]
+    Without a boundary the rest stays whole.
+    """
+    out, start = [], 0
+    while len(text) - start > size and (cut := _SAFE.search(text, start + size)):
+        out.append(text[start : cut.start()])
+        start = cut.start()
+    return [*out, text[start:]]
 
 
 def tiktoken_encoding(path: str):
@@ -63,20 +47,20 @@ def tiktoken_encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _encoder(path: str) -> PieceCache:
-    encoding = per_worker(tiktoken_encoding, path)
-    return PieceCache(lambda texts: [encoding.encode_ordinary(t) for t in texts])
+def text_ids(encoding, text: str, size: int = SEGMENT) -> np.ndarray:
+    """Ids of a whole text; nothing in it counts as a special token."""
+    return np.concatenate([encoding.encode_to_numpy(s, disallowed_special=()) for s in segments(text, size)]).astype("<u4")
 
 
-def plain_text(column: pa.Array) -> list[str]:
-    """Texts of a binary column; bytes that are no UTF-8 become U+FFFD."""
-    return [(x or b"").decode("utf-8", "replace") for x in column.to_pylist()]
+def id_lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, "<i4"), *ids]).astype("<i4")))
 
 
-def id_lists(packed: list[bytes]) -> pa.Array:
-    offsets = np.zeros(len(packed) + 1, np.int64)
-    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str]:
+    docs = only(docs, id_column, text_column).withColumn("text", F.col("text").cast("binary"))
+    return docs, docs.schema["doc_id"].dataType.simpleString()
 
 
 def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -89,15 +73,19 @@ def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", id_column: str
     path = vocabulary(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = per_worker(_encoder, path)
+        encoding = per_worker(tiktoken_encoding, path)
         for batch in batches:
-            texts = plain_text(batch.column(1))
-            for i, j in chunks([len(t) for t in texts]):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], id_lists(cache.packed(texts[i:j]))], ["doc_id", "ids"])
+            for i, j, texts in text_chunks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], id_lists([text_ids(encoding, t) for t in texts])], ["doc_id", "ids"])
 
-    docs = only(docs, id_column, text_column).withColumn("text", F.col("text").cast("binary"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    rows, kind = _texts(docs, id_column, text_column)
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+
+def _list_chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of a list column with some 8 MB of ids together."""
+    sizes = column.value_lengths().fill_null(0).to_pylist()
+    return chunks([4 * n for n in sizes], 8 << 20)
 
 
 def decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -107,9 +95,10 @@ def decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = per_worker(tiktoken_encoding, path)
         for batch in batches:
-            ids = batch.column(1)
-            decoded = [encoding.decode_bytes(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            for i, j in _list_chunks(batch.column(1)):
+                ids = batch.column(1)[i:j]
+                decoded = [encoding.decode_bytes(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
@@ -117,7 +106,6 @@ def decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFram
 
 def digests(decoded: DataFrame) -> DataFrame:
     """``doc_id, ids, n_tokens, ids_sha256, decoded_sha256`` of ``doc_id, ids, decoded``."""
-    import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,3 +122,32 @@ def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", "ids", "decoded").mapInArrow(
         run, f"doc_id {kind}, ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
+
+
+def round_trip(
+    docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", keep_ids: bool = True, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``doc_id, ids, n_tokens, ids_sha256, decoded_sha256``: encoding, decoding and digests in one pass over the texts.
+
+    The rows are those of ``digests(decode(encode(docs)))``. A task holds one worker and one chunk of texts
+    with its ids and bytes, freed before the next. Without ``keep_ids`` the ids are digested and dropped.
+    """
+    path = vocabulary(ranks)
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = per_worker(tiktoken_encoding, path)
+        for batch in batches:
+            for i, j, texts in text_chunks(batch.column(1)):
+                ids, rows = [], []
+                for text in texts:
+                    own = text_ids(encoding, text)
+                    rows.append((len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(encoding.decode_bytes(own.tolist())).hexdigest()))
+                    if keep_ids:
+                        ids.append(own)
+                values = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())]
+                named = [id_lists(ids)] if keep_ids else []
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *named, *values], ["doc_id", *["ids"] * keep_ids, *kinds])
+
+    rows, kind = _texts(docs, id_column, text_column)
+    return rows.mapInArrow(run, f"doc_id {kind}, " + "ids array<int>, " * keep_ids + "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 1_000_000
 #: Text bytes that a Python helper holds as arrays at a time; longer texts are taken alone.
 CHUNK_BYTES = 2 << 20
-#: Entries of a per-worker word cache before it starts anew.
-CACHE_ENTRIES = 500_000
+#: Estimated bytes of a per-worker cache; an entry costs its contents and some ``ENTRY_BYTES`` of objects and table.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 180
+#: Longer keys are never kept: one text without blanks must not fill a cache.
+KEPT_KEY = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,6 +78,32 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def lengths(column: pa.Array) -> list[int]:
+    """Bytes of each value of a string or binary array, null as 0."""
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
+def plain_text(column: pa.Array) -> list[str]:
+    """Texts of a binary column; bytes that are no UTF-8 become U+FFFD."""
+    return [(x or b"").decode("utf-8", "replace") for x in column.to_pylist()]
+
+
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """``first row, end, texts`` of chunks of a binary column; only one chunk at a time exists as Python strings."""
+    for i, j in chunks(lengths(column)):
+        yield i, j, plain_text(column[i:j])
+
+
+def string_chunks(column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+    """``first row, end, texts`` of chunks of a binary column, as string arrays; null as empty, no UTF-8 as U+FFFD."""
+    for i, j in chunks(lengths(column)):
+        try:
+            texts = column[i:j].cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array(plain_text(column[i:j]), pa.string())
+        yield i, j, pc.fill_null(texts, "")
+
+
 def words(data: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: exactly what bytes methods do."""
     return data.lower().split()
@@ -96,11 +125,13 @@ class WordHashes(dict):
     """Cache of 64-bit word hashes."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_KEY:
+            self[word] = value
         return value
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_ENTRIES:
+        if len(self) * ENTRY_BYTES > CACHE_BYTES:
             self.clear()
         return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
@@ -137,8 +168,13 @@ def shingle_hashes(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 
 def per_worker(build: Callable, *key):
-    """``build(*key)``, kept for the life of a Python worker."""
+    """``build(*key)``, kept in a Python worker until a builder of another module is asked for.
+
+    Workers serve one operator after the other; what the last one kept must not stay.
+    """
     cache = per_worker.__dict__.setdefault("cache", {})
+    for other in [at for at in cache if at[0] != build.__module__]:
+        del cache[other]
     at = (build.__module__, build.__qualname__, *key)
     if at not in cache:
         cache[at] = build(*key)

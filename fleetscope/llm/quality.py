@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, chunks, only, per_worker
+from .common import CACHE_BYTES, ENTRY_BYTES, only, per_worker, text_chunks
 
 #: log2 of the number of hashed n-grams, and the levels of share an indicator is made for.
 GRAM_BITS, LEVELS = 14, 8
@@ -72,7 +72,7 @@ def _tokens(text: str, shapes: Shapes) -> np.ndarray:
 
 def features(texts: list[str], shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
     """Indicator numbers of all texts, one text after another, and how many each text has."""
-    if len(shapes) > CACHE_ENTRIES:
+    if len(shapes) * ENTRY_BYTES > CACHE_BYTES:
         shapes.clear()
     tokens = [_tokens(t, shapes) for t in texts]
     lengths = np.array([len(t) for t in tokens], np.int64)
@@ -151,9 +151,8 @@ def scored(model: Model, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _in_chunks(column: pa.Array, shapes: Shapes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    texts = [(x or b"").decode("utf-8", "replace") for x in column.to_pylist()]
-    for i, j in chunks([len(t) for t in texts]):
-        yield i, j, *features(texts[i:j], shapes)
+    for i, j, texts in text_chunks(column):
+        yield i, j, *features(texts, shapes)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Model:

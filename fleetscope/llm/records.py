@@ -4,7 +4,7 @@ A record is
 
     length  unsigned 64 bit, little-endian: bytes of data
     masked checksum of the length field, unsigned 32 bit
-    data    kind (1 byte: 2 or 4 bytes an id), doc_id (signed 64 bit), ids little-endian
+    data    kind (1 byte: 2 or 4 bytes an id, plus 8 if there is no doc_id), doc_id (signed 64 bit), ids little-endian
     masked checksum of the data, unsigned 32 bit
 
 A checksum c (CRC-32) is stored rotated right by 15 bits plus 0xA282EAD8, so a
@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import plain_text
-from .common import chunks, new_path, only, per_worker, stored, vocabulary
+from .common import new_path, only, per_worker, stored, string_chunks, vocabulary
 from .storage import PartFile, create_folder, new_stem, open_part
 from .token_counts import LibraryEncoder
 
 #: A part is closed once it has so many bytes; a record is never split.
 PART_BYTES = 32 << 20
-_NO_ID = -(1 << 63)
+_NO_ID = 8
+CHECKS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 PARTS = "folder string, part string, bytes bigint, records bigint, n_ids bigint, first_doc bigint, last_doc bigint, task int, seq int"
 
 
@@ -61,12 +61,12 @@ def read_frame(stream) -> bytes | None:
 
 def serialize(doc_id: int | None, ids: np.ndarray) -> bytes:
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    return struct.pack("<Bq", width, _NO_ID if doc_id is None else doc_id) + ids.astype(f"<u{width}").tobytes()
+    return struct.pack("<Bq", width if doc_id is not None else width | _NO_ID, doc_id or 0) + ids.astype(f"<u{width}").tobytes()
 
 
 def deserialize(data: bytes) -> tuple[int | None, np.ndarray]:
-    width, doc_id = struct.unpack_from("<Bq", data)
-    return None if doc_id == _NO_ID else doc_id, np.frombuffer(data, f"<u{width}", offset=9).astype("<u4")
+    kind, doc_id = struct.unpack_from("<Bq", data)
+    return None if kind & _NO_ID else doc_id, np.frombuffer(data, f"<u{kind & ~_NO_ID}", offset=9).astype("<u4")
 
 
 def write_records(
@@ -90,7 +90,7 @@ def write_records(
         from pyspark import TaskContext
 
         encoder = per_worker(LibraryEncoder, path)
-        task, seq, part, done, end = TaskContext.get().partitionId(), 0, None, [], np.array([end_id], "<u4").tobytes()
+        task, seq, part, done, end = TaskContext.get().partitionId(), 0, None, [], np.array([end_id], "<u4")
 
         def finish():
             index.write(np.array(offsets, "<u8").tobytes())
@@ -99,14 +99,15 @@ def write_records(
             done.append((folder, part.name, part.size, len(offsets), n_ids, first, last, task, seq))
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), plain_text(batch.column(1))
-            for i, j in chunks([len(t) for t in texts]):
-                for doc_id, packed in zip(doc_ids[i:j], encoder.packed(texts[i:j]), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for i, j, texts in string_chunks(batch.column(1)):
+                flat, ends = encoder.of(texts)
+                for doc_id, own in zip(doc_ids[i:j], np.split(flat, ends[:-1]), strict=True):
                     if part is None:
                         stem = new_stem()
                         part, index = PartFile(folder, stem + ".rec"), PartFile(folder, stem + ".idx")
                         offsets, n_ids, first = [], 0, doc_id
-                    ids = np.frombuffer(packed + end, "<u4")
+                    ids = np.concatenate([own, end])
                     offsets.append((part.write(frame(serialize(doc_id, ids))), len(ids)))
                     n_ids, last = n_ids + len(ids), doc_id
                     if part.size >= part_bytes:
@@ -126,10 +127,10 @@ def write_records(
     return stored(parts, "parts")
 
 
-def read_records(parts: DataFrame) -> DataFrame:
+def read_records(parts: DataFrame, checks: bool = False) -> DataFrame:
     """``doc_id, start, ids`` of all records; ``start`` counts the ids of all records before.
 
-    Reads part by part as a stream, checks every length and checksum and the counts
+    With ``checks`` the rows are those of ``record_digests``, made as the records are read. Reads part by part as a stream, checks every length and checksum and the counts
     of the list. The running total of parts is a window over the list of parts alone,
     one row per part of some 32 MB.
     """
@@ -137,6 +138,8 @@ def read_records(parts: DataFrame) -> DataFrame:
     placed = parts.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     placed = placed.select("folder", "part", "records", "n_ids", "start")
 
+    make = _check_batch if checks else _batch
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -147,15 +150,15 @@ def read_records(parts: DataFrame) -> DataFrame:
                         rows.append((doc_id, start, ids))
                         start, records, size = start + len(ids), records + 1, size + len(ids)
                         if size > 1 << 20:
-                            yield _batch(rows)
+                            yield make(rows)
                             rows, size = [], 0
                 if (records, start - row["start"]) != (row["records"], row["n_ids"]):
                     raise ValueError(f"part {row['part']} is incomplete")
                 if rows:
-                    yield _batch(rows)
+                    yield make(rows)
 
     spread = placed.repartition(max(1, parts.sparkSession.sparkContext.defaultParallelism * 2), "part")
-    return spread.mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+    return spread.mapInArrow(run, CHECKS if checks else "doc_id bigint, start bigint, ids array<int>")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -167,6 +170,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _check_batch(rows: list[tuple]) -> pa.RecordBatch:
+    found = [(doc_id, start, len(ids), zlib.crc32(ids.tobytes())) for doc_id, start, ids in rows]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def record_digests(records: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of ``doc_id, start, ids``."""
 
@@ -178,7 +186,7 @@ def record_digests(records: DataFrame) -> DataFrame:
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return records.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return records.mapInArrow(run, CHECKS)
 
 
 def read_at(folder: str, part: str, ordinals: list[int]) -> list[tuple[int | None, np.ndarray]]:

@@ -11,12 +11,14 @@ import hashlib
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PieceCache, plain_text
-from .common import chunks, only, per_worker, vocabulary
+from .common import only, per_worker, string_chunks, vocabulary
+from .pieces import JoinedEncoder, PieceCache
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens bigint"
 
@@ -59,19 +61,25 @@ class LibraryEncoder:
             model = tokenizers.Tokenizer.from_file(path)
             self.special = [t.content for t in model.get_added_tokens_decoder().values()]
             if model.normalizer is None and type(model.pre_tokenizer).__name__ == "ByteLevel":
-                self.cache = PieceCache(self.whole)
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
+                # A token of a byte-level vocabulary has one character for each byte.
+                id_bytes = np.zeros(model.get_vocab_size(), np.int64)
+                for token, i in model.get_vocab().items():
+                    id_bytes[i] = len(token)
+                self.cache = PieceCache(JoinedEncoder(self.whole, id_bytes))
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string array, one after another, and where each text ends."""
         if self.cache is None:
-            return [np.asarray(ids, "<u4").tobytes() for ids in self.whole(texts)]
+            ids = [np.asarray(x, "<u4") for x in self.whole(texts.to_pylist())]
+            return np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([len(x) for x in ids], dtype=np.int64)
         # A special string may take white space beside it: such a text is not cut.
-        uncut = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        done = self.cache.packed([t for i, t in enumerate(texts) if i not in set(uncut)]) if len(uncut) < len(texts) else []
-        own = iter(self.whole([texts[i] for i in uncut])) if uncut else iter(())
-        rest, apart = iter(done), set(uncut)
-        return [np.asarray(next(own), "<u4").tobytes() if i in apart else next(rest) for i in range(len(texts))]
+        uncut = sorted({i for s in self.special for i in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist()})
+        own = self.whole([texts[i].as_py() for i in uncut]) if uncut else []
+        return self.cache.of(texts, {i: np.asarray(ids, "<u4").tobytes() for i, ids in zip(uncut, own, strict=True)})
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        ids, ends = self.of(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if texts else []
 
 
 def count_misses(misses: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -82,9 +90,9 @@ def count_misses(misses: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(LibraryEncoder, path)
         for batch in batches:
-            texts, counts = plain_text(batch.column(1)), []
-            for i, j in chunks([len(t) for t in texts]):
-                counts += [len(p) // 4 for p in encoder.packed(texts[i:j])]
+            counts = []
+            for _, _, texts in string_chunks(batch.column(1)):
+                counts += np.diff(encoder.of(texts)[1], prepend=0).tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * len(counts), pa.string()), batch.column(0), pa.array(counts, pa.int64())],
                 ["tokenizer", "digest", "n_tokens"],

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from fleetscope.llm import bpe, records, token_counts
+from fleetscope.llm import bpe, pieces, records, token_counts
 from fleetscope.llm.common import new_path, vocabulary
 
 RANKS, JSON = vocabulary("byte_bpe_50k.tiktoken"), vocabulary("byte_bpe_50k.json")
@@ -30,14 +30,34 @@ def packed(ids):
 
 def test_pieces_change_no_match():
     rng = random.Random(3)
-    tik, lib, cache = bpe.tiktoken_encoding(RANKS), token_counts.LibraryEncoder(JSON), bpe._encoder(RANKS)
+    tik, lib = bpe.tiktoken_encoding(RANKS), token_counts.LibraryEncoder(JSON)
     for _ in range(3000):
         text = "".join(rng.choices(PARTS, k=rng.randint(0, 14)))
-        assert "".join(bpe.pieces(text)) == text
-        assert cache.packed([text])[0] == packed(tik.encode_ordinary(text))
+        assert "".join(pieces.pieces(text)) == text and "".join(bpe.segments(text, 3)) == text
+        assert packed(bpe.text_ids(tik, text, 3)) == packed(tik.encode_ordinary(text))
         assert lib.packed([text])[0] == packed(lib.whole([text])[0])
 
 
+def test_piece_cache_stays_in_its_bound():
+    seen = []
+
+    def encode(missing):
+        seen.extend(missing)
+        return [p.encode() for p in missing]
+
+    cache = pieces.PieceCache(encode, most=20_000)
+    for k in range(50):
+        assert cache.packed([f"a{k} b c{k} d" + "x" * 500, "b"]) == [f"a{k} b c{k} d".encode() + b"x" * 500, b"b"]
+        assert len(cache.young) + len(cache.old) < 130 and all(len(p) <= 64 for p in cache.young)
+    assert seen.count(" b") == 1
+
+
+def test_joined_pieces_are_told_apart():
+    lib, rng = token_counts.LibraryEncoder(JSON), random.Random(8)
+    missing = ["".join(rng.choices([" ", "\n", "é", "a", "日本", "'s", "7", "!", "\t"], k=rng.randint(1, 9))) for _ in range(4000)]
+    assert lib.cache.encode(missing) == [packed(x) for x in lib.whole(missing)]
+
+
 def test_encode_decode(frame):
     tik = bpe.tiktoken_encoding(RANKS)
     got = {r.doc_id: r for r in bpe.digests(bpe.decode(bpe.encode(frame(rows_of(TEXTS), SCHEMA)))).collect()}
@@ -48,6 +68,16 @@ def test_encode_decode(frame):
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_round_trip_is_one_pass(frame):
+    docs = frame(rows_of(TEXTS), SCHEMA)
+    apart = {r.doc_id: r for r in bpe.digests(bpe.decode(bpe.encode(docs))).collect()}
+    assert {r.doc_id: r for r in bpe.round_trip(docs).collect()} == apart
+    digested = bpe.round_trip(docs, keep_ids=False)
+    assert digested.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    plan = digested._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and bpe.round_trip(frame([], SCHEMA)).count() == 0
+
+
 def test_encode_keeps_null_ids_and_repeats(frame):
     got = bpe.encode(frame([(None, "x"), (1, "y"), (1, "y")], SCHEMA)).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"]
@@ -82,6 +112,7 @@ def test_records_round_trip(spark, frame):
     parts = records.write_records(frame(rng.sample(rows, len(rows)), SCHEMA), part_bytes=4000)
     assert parts.count() > 3
     got = records.record_digests(records.read_records(parts)).orderBy("start").collect()
+    assert records.read_records(parts, checks=True).orderBy("start").collect() == got
     ids = [r.doc_id for r in got]
     assert len(got) == len(rows) and ids[0] is None and ids[1:] == sorted(ids[1:])
     start = 0
@@ -108,6 +139,8 @@ def test_damaged_records():
     data = records.frame(records.serialize(5, np.array([1, 70_000], "<u4")))
     doc_id, ids = records.deserialize(records.read_frame(io.BytesIO(data)))
     assert doc_id == 5 and ids.tolist() == [1, 70_000]
+    for other in (None, -(1 << 63), 0):
+        assert records.deserialize(records.serialize(other, np.zeros(0, "<u4")))[0] == other
     for at in (0, 9, 14, len(data) - 1):
         broken = bytearray(data)
         broken[at] ^= 1
