@@ -75,4 +75,44 @@ SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.
 FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
-ORACLE = {"op4_minhash": OP4, "op5_warc": OP5, "op6_decontamination": OP6, "op7_embedding_links": OP7}
+OP12 = r"""
+WITH t AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+    FROM documents),
+f AS (
+    SELECT row, doc_id, part,
+           [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+            100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text),
+            regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+    FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+g AS (
+    SELECT part, list_transform(fails, lambda x: CAST(x AS INTEGER)) AS fails, count(*) AS n,
+           sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad
+    FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+i AS (SELECT unnest(range(1, 6)) AS k),
+o AS (
+    SELECT [a.k, b.k, c.k, d.k, e.k] AS places
+    FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT places, k AS step, places[k] AS filter, places[1:k - 1] AS before FROM o, i),
+x AS (
+    SELECT part, places, step, filter, n, good, bad, fails[filter] = 1 AS failing,
+           len(list_filter(before, lambda b: fails[b] = 1)) > 0 AS gone, list_sum(fails) AS failed
+    FROM g, s),
+r AS (
+    SELECT part, places, step, filter, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN failing AND gone THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN failing AND failed = 1 THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN failing AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN failing AND NOT gone THEN bad ELSE 0 END) AS toxic_lost
+    FROM x GROUP BY ALL)
+SELECT part, array_to_string(list_transform(places, lambda p: 'ABCDE'[p]), '') AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+"""
+
+ORACLE = {
+    "op4_minhash": OP4, "op5_warc": OP5, "op6_decontamination": OP6, "op7_embedding_links": OP7, "op12_filter_audit": OP12,
+}

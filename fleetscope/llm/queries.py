@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, html, lm, minhash, quality, records, token_counts, warc
+from . import bpe, decontaminate, embeddings, filter_audit, html, lm, minhash, pair_bpe, quality, records, token_counts, warc
 from .common import new_path, table
 
 #: From this score on a text counts as good.
@@ -25,8 +25,7 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
-    return bpe.digests(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +33,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = records.write_records(table(spark, sf_dir, "documents"))
-    return records.record_digests(records.read_records(parts))
+    return records.read_records(records.write_records(table(spark, sf_dir, "documents")), checks=True)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +70,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), new_path(spark, "token-cache"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_lm_score, op3_token_records, op4_minhash, op5_warc, op6_decontamination, op7_embedding_links, op8_html_text,
-        op9_quality, op10_token_counts,
+        op9_quality, op10_token_counts, op12_filter_audit, op13_pair_bpe,
     )
 }
