@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, filter_audit, html, lm, minhash, pair_bpe, quality, records, token_counts, warc
+from . import bpe, decontaminate, embeddings, filter_audit, html, lm, minhash, pair_bpe, phrases, quality, records, token_counts, warc
 from .common import new_path, table
 
 #: From this score on a text counts as good.
@@ -70,6 +70,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), new_path(spark, "token-cache"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,6 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_lm_score, op3_token_records, op4_minhash, op5_warc, op6_decontamination, op7_embedding_links, op8_html_text,
-        op9_quality, op10_token_counts, op12_filter_audit, op13_pair_bpe,
+        op9_quality, op10_token_counts, op11_collocations, op12_filter_audit, op13_pair_bpe,
     )
 }
