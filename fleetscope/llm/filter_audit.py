@@ -102,12 +102,10 @@ def audit(
         ("".join(names[k] for k in order), step + 1, order[step], sum(1 << k for k in order[:step]))
         for order in permutations(range(len(names))) for step in range(len(names))
     ]
-    orders = docs.sparkSession.createDataFrame(steps, "filter_order string, step int, filter int, before int")
-    parts = every.groupBy("part").agg(F.count("*").alias("documents"))
-    # A part's rows are the fixed table of all orders, carried as one array.
-    table = F.expr("explode(orders)")
-    carried = orders.agg(F.collect_list(F.struct(*orders.columns)).alias("orders")).withColumn("one", F.lit(1))
-    placed = parts.withColumn("one", F.lit(1)).join(F.broadcast(carried), "one").select("part", "documents", table.alias("o")).select("part", "documents", "o.*")
+    orders = docs.sparkSession.createDataFrame([(k, *row) for k, row in enumerate(steps)], "place int, filter_order string, step int, filter int, before int")
+    # Each part gets the places of the fixed table of all orders, which is as long whatever the data.
+    parts = every.groupBy("part").agg(F.count("*").alias("documents")).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(len(steps) - 1))))
+    placed = parts.join(F.broadcast(orders), "place")
     placed = placed.join(counts, key, "left").join(per_filter, ["part", "filter"], "left").na.fill(0)
     so_far = F.sum("removed").over(Window.partitionBy("part", "filter_order").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     return placed.select(

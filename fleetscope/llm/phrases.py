@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from .common import WordHashes, chunks, lengths, mix, per_worker, stored, text_bytes
 
 #: Phrases of a trie shard, phrases of the shards that are broadcast together, phrases of a block of counts.
-SHARD, TOGETHER, BLOCK = 1 << 17, 1 << 19, 1 << 14
+SHARD, TOGETHER, BLOCK = 1 << 17, 1 << 20, 1 << 14
 #: Bits of a bit table at most, and bits for each frequent bucket below that.
 TABLE_BITS, BITS_EACH = 27, 64
 #: Distinct n-grams that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 21
 #: Longer words go through the trie as a digest of 128 bits.
 LONG_WORD = 64
 _STOP = b"."
@@ -103,20 +103,24 @@ def frequent_buckets(rows: DataFrame, tables: list, min_count: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = per_worker(StopHashes), [np.frombuffer(b.value, np.uint8) for b in shared]
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, size = [], 0
 
         def handed_on() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["bucket", "n"])
+            """The held n-grams, each once: sorted together, their counts summed by runs."""
+            keys, counts = (np.concatenate([np.zeros(0, t), *(h[k] for h in held)]) for k, t in enumerate((np.uint64, np.int64)))
+            order = np.argsort(keys, kind="stable")  # each part ascends: runs are merged
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+            summed = np.add.reduceat(counts[order], first) if len(keys) else counts
+            return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(summed)], ["bucket", "n"])
 
         for langs, sizes, flat in _token_chunks(batches):
             *_, (found, able) = _grams(langs, sizes, flat, hashes, bits)
-            own, n = np.unique(found[able], return_counts=True)
-            # Both sides ascend: one merge for the whole task.
-            keys, inverse = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) > HELD:
+            held.append(np.unique(found[able], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD:
                 yield handed_on()
-                keys, counts = keys[:0], counts[:0]
+                held, size = [], 0
         yield handed_on()
 
     sums = rows.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -154,8 +158,11 @@ def candidates(rows: DataFrame, tables: list) -> DataFrame:
                 places = np.flatnonzero(able)
                 places = places[_passes(bits[n], keys[places])]
                 own, first = np.unique(keys[places], return_index=True)
-                new = ~np.isin(own, seen[n], assume_unique=True)
-                seen[n] = np.union1d(seen[n], own[new]) if len(seen[n]) < HELD else own
+                at = np.searchsorted(seen[n], own)
+                new = np.ones(len(own), bool)
+                new[at < len(seen[n])] = seen[n][at[at < len(seen[n])]] != own[at < len(seen[n])]
+                # Ascending; once full it starts anew, and a phrase may be named again.
+                seen[n] = np.insert(seen[n], at[new], own[new]) if len(seen[n]) < HELD else own
                 places = places[first[new]]
                 phrases += [b" ".join(flat[p : p + n + 1]) for p in places.tolist()]
                 owner += np.searchsorted(ends, places, side="right").tolist()
