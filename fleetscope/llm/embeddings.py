@@ -93,7 +93,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, id_column: str = "
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     valid = rows.filter(usable)
-    classes = stored(valid.groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep")), "vectors")
+    # A class is a label and a vector with a number of its own: an id may stand on several vectors.
+    classes = valid.groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     axes = _fit(classes)
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9)
     cell_names = [f"c{k}" for k in range(AXES)]
@@ -187,8 +189,10 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, id_column: str = "
     labels = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+        "label", "embedding", "least_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")
     )
+    smallest = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    known = known.join(smallest, "component").select("label", "embedding", "n_links", "component_id")
     # One row per vector on the right: adaptive execution can split a vector that is everywhere.
     linked_rows = valid.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -36,7 +36,7 @@ BLOCK = 384
 MARGIN = 0.21
 _FACTORS = np.random.default_rng(20_240_229).integers(1, 2**32, (2, PERMUTATIONS), dtype=np.uint64).astype(np.uint32)
 _FACTORS[0] |= 1
-SIGNATURES = "doc_id bigint, digest binary, n_shingles bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+SIGNATURES = "doc_id bigint, key binary, digest binary, n_shingles bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 _SIGNATURE = ["s0", "s1", "s2", "s3"]
 
 
@@ -53,24 +53,30 @@ def minima(hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
+def keyed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id, text, key``: an id may stand on several texts, ``key`` tells them apart."""
+    text = F.col("text").cast("binary")
+    return only(docs, id_column, text_column).select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
+
+
 def signatures(docs: DataFrame, width: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: digest of its word sequence, size of its shingle set, band keys and packed signature.
+    """Per row: key of its text, digest of its word sequence, size of its shingle set, band keys and packed signature.
 
     Texts without words have size 0 and no bands.
     """
-    rows = only(docs, id_column, text_column).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    rows = keyed_texts(docs, id_column, text_column).select("doc_id", "text", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = per_worker(WordHashes)
         for batch in batches:
             data = text_bytes(batch.column(1))
             for i, j in chunks([len(d) for d in data]):
-                yield _signed(batch.column(0)[i:j], data[i:j], width, cache)
+                yield _signed([batch.column(0)[i:j], batch.column(2)[i:j]], data[i:j], width, cache)
 
     return rows.mapInArrow(run, SIGNATURES)
 
 
-def _signed(ids: pa.Array, data: list[bytes], width: int, cache: WordHashes) -> pa.RecordBatch:
+def _signed(ids: list[pa.Array], data: list[bytes], width: int, cache: WordHashes) -> pa.RecordBatch:
     tokens = [words(d) for d in data]
     digests = [xxhash.xxh3_128_digest(b" ".join(t)) for t in tokens]
     lengths = np.array([len(t) for t in tokens], np.int64)
@@ -93,10 +99,10 @@ def _signed(ids: pa.Array, data: list[bytes], width: int, cache: WordHashes) ->
     offsets = np.concatenate([[0], np.cumsum((sizes > 0) * bands.shape[1])]).astype(np.int32)
     signature = np.zeros((len(data), len(_SIGNATURE)), np.int64)
     signature[full] = packed
-    columns = [ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1)))]
+    columns = [*ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1)))]
     return pa.RecordBatch.from_arrays(
         [*columns, *(pa.array(np.ascontiguousarray(signature[:, k]), pa.int64()) for k in range(4))],
-        ["doc_id", "digest", "n_shingles", "bands", *_SIGNATURE],
+        ["doc_id", "key", "digest", "n_shingles", "bands", *_SIGNATURE],
     )
 
 
@@ -202,18 +208,20 @@ def near_duplicates(
     """
     signed = stored(signatures(docs, width, id_column, text_column), "signatures")
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = stored(linkable.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "rep"), "members")
-    # One row per text: a task keeps one copy of each before the exchange.
-    reps = linkable.join(member.filter("doc_id = rep").select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    # A class is a word sequence with a number of its own: an id may stand on several texts. A task keeps one copy of
+    # each before the exchange; the smallest id and its text speak for the class.
+    first = F.min(F.struct("doc_id", "key")).alias("first")
+    classes = stored(linkable.groupBy("digest").agg(first).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = linkable.drop("doc_id", "key").dropDuplicates(["digest"]).join(classes.select("digest", F.col("rep").alias("doc_id")), "digest")
     keyed = reps.select(F.explode("bands").alias("bucket"), "doc_id")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
     signature = F.struct("doc_id", "n_shingles", *_SIGNATURE)
     full = keyed.join(shared, "bucket").join(reps.select("doc_id", signature.alias("m")), "doc_id")
     buckets = stored(full.select("bucket", "m", F.col("doc_id").alias("comp")), "buckets")
     ids = stored(buckets.select("m.doc_id").distinct(), "bucket-ids")
-    plain = only(docs, id_column, text_column).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    texts = stored(semi_join(plain, ids, "doc_id").dropDuplicates(["doc_id"]), "bucket-texts")
+    speaking = stored(classes.join(ids.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "first.doc_id", "first.key"), "speaking")
+    plain = semi_join(keyed_texts(docs, id_column, text_column), speaking, "doc_id").dropDuplicates(["doc_id", "key"])
+    texts = stored(plain.join(speaking, ["doc_id", "key"]).select(F.col("rep").alias("doc_id"), "text"), "bucket-texts")
     least = percent / 100 - MARGIN
     smaller, larger = F.least("m.n_shingles", "o.n_shingles"), F.greatest("m.n_shingles", "o.n_shingles")
     possible = (F.col("comp") != F.col("o_comp")) & (smaller * 100 >= larger * percent) & (estimate("m", "o") >= least)
@@ -237,10 +245,10 @@ def near_duplicates(
     regions = components(close.unionByName(links)).select("node", F.col("component").alias("region"))
     found = stored(region_links(regions, labels, reps, texts, width, percent), "links")
     labels = components(links.unionByName(found))
-    placed = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", "digest", F.coalesce("component", "rep").alias("component_id")
-    ).distinct()
-    component = F.coalesce("component_id", "doc_id")
-    return signed.select("doc_id", "digest", "n_shingles").join(placed, ["doc_id", "digest"], "left").select(
+    own = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("first.doc_id").alias("least"), F.coalesce("component", "rep").alias("component"))
+    smallest = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = own.join(smallest, "component").select("digest", "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return signed.select("doc_id", "digest", "n_shingles").join(placed, "digest", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
     )

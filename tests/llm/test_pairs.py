@@ -65,6 +65,20 @@ def test_near_duplicates(frame, monkeypatch, width, rounds):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], label[r.doc_id] == r.doc_id)
 
 
+def test_near_duplicates_of_ids_with_several_texts(frame):
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    near = lambda words, at: " ".join([*words[:at], "other", *words[at + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 3)), (3, near(b, 50)), (3, near(b, 50)), (0, near(b, 2)), (5, " ".join(a))]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame(rows, SCHEMA)).collect())
+    assert got == sorted([(1, 1, True), (1, 0, False), (2, 1, False), (3, 0, False), (3, 0, False), (0, 0, True), (5, 1, False)])
+
+
+def test_links_of_ids_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], "x"), (1, [0.0, 1.0], "x"), (2, [1.0, 0.001], "x"), (2, [1.0, 0.001], "x"), (0, [0.001, -1.0], "x"), (1, [1.0, 0.0], "y")]
+    got = embeddings.link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted([(1, 2, 1), (1, 0, 1), (2, 2, 1), (2, 2, 1), (0, 0, 0), (1, 0, 1)])
+
+
 def test_near_duplicates_of_nothing(frame):
     assert minhash.near_duplicates(frame([], SCHEMA)).count() == 0
     assert minhash.near_duplicates(frame([(1, None)], SCHEMA)).first().component_id == 1
@@ -177,7 +191,7 @@ def test_vector_links(frame, monkeypatch):
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_query(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "benchmark"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "labels"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     result = duck.execute(ORACLE[name])
     columns = [d[0] for d in result.description]
