@@ -35,9 +35,69 @@ def cyclic_core(edges: DataFrame, key: str) -> DataFrame:
     return core.select(key, "source", "target")
 
 
+def least_reaching(edges: DataFrame, key: str) -> DataFrame:
+    """``key, node, least``: the smallest node from which a path leads to each node, itself included.
+
+    What reaches the node that reaches me reaches me: each round takes a step along the edges and a
+    jump along the answers so far, so rounds follow the logarithm of a path rather than its length.
+    """
+    nodes = edges.select(key, F.explode(F.array("source", "target")).alias("node")).distinct()
+    found = cut_lineage(nodes.withColumn("least", F.col("node")))
+    while True:
+        pushed = edges.join(found.withColumnRenamed("node", "source"), [key, "source"]).groupBy(key, F.col("target").alias("node")).agg(F.min("least").alias("pushed"))
+        grown = cut_lineage(found.join(pushed, [key, "node"], "left").select(key, "node", F.least("least", "pushed").alias("next"), F.col("least").alias("before")))
+        jump = grown.select(key, F.col("node").alias("next"), F.col("next").alias("jumped"))
+        grown = cut_lineage(grown.join(jump, [key, "next"]).select(key, "node", F.least("next", "jumped").alias("least"), "before"))
+        found = grown.select(key, "node", "least")
+        if grown.filter("least <> before").isEmpty():
+            return found
+
+
+def strong_components(edges: DataFrame, key: str = "repo_id") -> DataFrame:
+    """``key, component, node`` of every node on a cycle; ``component`` is the smallest node it shares cycles with.
+
+    A turn colours each node with the smallest node that reaches it. Nodes from which a path inside their colour leads
+    back to that node are its component. What is left is trimmed and takes the next turn.
+    """
+    core, found = cyclic_core(edges, key), []
+    while not core.isEmpty():
+        colour = least_reaching(core, key)
+        inside = core
+        for end in ("source", "target"):
+            inside = inside.join(colour.select(key, F.col("node").alias(end), F.col("least").alias(f"{end}_colour")), [key, end])
+        inside = cut_lineage(inside.filter("source_colour = target_colour").select(key, F.col("source").alias("target"), F.col("target").alias("source")))
+        back = least_reaching(inside, key).withColumnRenamed("least", "component")
+        members = cut_lineage(back.join(colour, [key, "node"]).filter("component = least").select(key, "component", "node"))
+        found.append(members)
+        # Nodes without an edge inside their colour are on no cycle either.
+        alone = colour.filter("node = least").select(key, "node")
+        gone = cut_lineage(members.select(key, "node").unionByName(alone).distinct())
+        for end in ("source", "target"):
+            core = core.join(gone.withColumnRenamed("node", end), [key, end], "left_anti")
+        core = cyclic_core(core, key)
+    if not found:
+        return edges.select(key, F.col("source").alias("component"), F.col("source").alias("node")).limit(0)
+    # A node between two cycles is a component without an edge of its own.
+    named = cut_lineage(_union(found))
+    tails = edges.select(key, F.col("source").alias("node"), F.col("target").alias("other")).distinct().join(named, [key, "node"])
+    cyclic = tails.join(named.withColumnRenamed("node", "other"), [key, "other", "component"]).select(key, "component").distinct()
+    return named.join(cyclic, [key, "component"], "left_semi").select(key, "component", "node")
+
+
+def inner_edges(edges: DataFrame, components: DataFrame, key: str) -> DataFrame:
+    """Edges between two nodes of one component: only these lie on cycles."""
+    named = edges.select(key, "source", "target").distinct()
+    for end in ("source", "target"):
+        named = named.join(components.select(key, F.col("node").alias(end), F.col("component").alias(f"{end}_component")), [key, end])
+    return named.filter("source_component = target_component").select(key, "source", "target")
+
+
 def simple_cycles(edges: DataFrame, key: str = "repo_id") -> DataFrame:
-    """Every simple cycle once, starting at its smallest node: ``key, cycle``."""
-    core = cyclic_core(edges, key)
+    """Every simple cycle once, starting at its smallest node: ``key, cycle``.
+
+    Paths stay inside strong components: what lies before, behind or between cycles is never walked.
+    """
+    core = cut_lineage(inner_edges(edges, strong_components(edges, key), key))
     step = core.withColumnsRenamed({"source": "tail", "target": "next"})
     loops = core.filter("source = target").select(key, F.array("source").alias("cycle"))
     paths = core.filter("source < target").select(

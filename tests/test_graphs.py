@@ -6,18 +6,6 @@ from helpers import rows
 from fleetscope.operators import graphs
 
 
-def greedy_groups(uses):
-    done, groups = set(), []
-    for seed in sorted(uses):
-        if seed in done:
-            continue
-        group = [seed] + [s for s in sorted(uses) if s != seed and s not in done and uses[seed] & uses[s]]
-        if len(group) > 1:
-            groups.append(group)
-            done.update(group)
-    return groups
-
-
 def adjacency(edges):
     near = {}
     for a, b in edges:
@@ -92,17 +80,27 @@ def edge_table(spark, random_graphs):
     return spark.createDataFrame(data, "plan_id string, source string, target string").cache()
 
 
-def test_sharing_groups_against_greedy(spark):
+def test_sharing_groups_hold_their_rules(spark):
+    """Instead of a second implementation: what every grouping in name order must satisfy, which leaves one grouping only."""
     dice = random.Random(3)
-    data, expected = [], set()
+    used = {}
     for r in range(120):
-        pool = dice.randint(1, 10)
-        uses = {f"s{i:02d}": {f"t{dice.randrange(pool)}" for _ in range(dice.randint(0, 3))} for i in range(dice.randint(2, 12))}
-        data += [(f"r{r}", s, t) for s, tables in uses.items() for t in tables]
-        expected |= {(f"r{r}", g[0], s, len(g)) for g in greedy_groups(uses) for s in g}
-    tables = spark.createDataFrame(data, "repo_id string, service string, table string")
-    got = graphs.sharing_groups(tables).select("repo_id", "seed", "service", "n_services")
-    assert {tuple(r) for r in got.collect()} == expected
+        tables = [f"t{k}" for k in range(dice.randint(1, 10))]
+        used[f"r{r}"] = {f"s{k:02d}": frozenset(dice.sample(tables, dice.randint(0, min(3, len(tables))))) for k in range(dice.randint(2, 12))}
+    data = [(r, s, t) for r, services in used.items() for s, tables in services.items() for t in tables]
+    found = graphs.sharing_groups(spark.createDataFrame(data, "repo_id string, service string, table string")).collect()
+    seed_of = {(r.repo_id, r.service): r.seed for r in found}
+    assert len(seed_of) == len(found)
+    for r, services in used.items():
+        # Alone or not, a service that no group claims stands for itself.
+        seed = {s: seed_of.get((r, s), s) for s in services}
+        seeds = {s for s in services if seed[s] == s}
+        for s, tables in services.items():
+            earlier = {x for x in seeds if x < s and services[x] & tables}
+            assert seed[s] == min(earlier, default=s)  # the earliest seed that shares a table, one hop away
+        for row in found:
+            if row.repo_id == r:
+                assert row.n_services == sum(x == row.seed for x in seed.values()) > 1
 
 
 def test_sharing_is_one_hop(spark):
@@ -130,6 +128,24 @@ def test_cycles(random_graphs, edge_table):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_strong_components(random_graphs, edge_table):
+    expected = set()
+    for k, (_, edges) in random_graphs.items():
+        reach = set(edges)
+        while more := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+            reach |= more
+        expected |= {(k, min(b for a, b in reach if a == n and (b, n) in reach), n) for n, m in reach if n == m}
+    got = [tuple(r) for r in graphs.strong_components(edge_table, "plan_id").select("plan_id", "component", "node").collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_a_lattice_beside_and_between_cycles_is_not_walked(spark):
+    layers = [(f"m{k}{a}", f"m{k + 1}{b}") for k in range(10, 40) for a in "xyz" for b in "xyz"]
+    ends = [("a", "b"), ("b", "a"), ("b", "m10x"), ("m40x", "y"), ("y", "z"), ("z", "y")]
+    edges = spark.createDataFrame([("p", *e) for e in layers + ends], "plan_id string, source string, target string")
+    assert sorted(r.cycle for r in graphs.simple_cycles(edges, "plan_id").collect()) == [["a", "b"], ["y", "z"]]
+
+
 def test_self_loop(spark):
     ring = spark.createDataFrame([("p", f"n{i}", f"n{(i + 1) % 6}") for i in range(6)] + [("p", "n9", "n9")],
                                  "plan_id string, source string, target string")
@@ -147,6 +163,7 @@ def test_long_ring_beside_a_small_graph(spark):
 def test_no_edges(spark):
     none = spark.createDataFrame([], "plan_id string, source string, target string")
     assert graphs.simple_cycles(none, "plan_id").count() == 0
+    assert graphs.strong_components(none, "plan_id").count() == 0
     assert graphs.longest_paths(none).count() == 0
     empty = spark.createDataFrame([], "repo_id string, service string, table string")
     assert graphs.sharing_groups(empty).count() == 0

@@ -4,33 +4,38 @@ from fleetscope.operators import dependencies, facts, rollups, smells
 from fleetscope.sources import files as sources
 
 FILES = "repo_id string, service string, path string, content string"
-AUTH = "@app.route('/api/auth/login')\ndef login(): pass\n@app.route('/api/auth/logout')\ndef logout(): pass\n"
-USER = (
-    "import requests\n@app.route('/api/users')\ndef users():\n    requests.get('http://auth-service/api/auth/verify')\n"
-    "@app.route('/api/users/<id>')\ndef user(id): pass\n"
+STOCK = (
+    "import redis\nfrom fastapi import APIRouter\nrouter = APIRouter()\ncache = redis.Redis()\n"
+    "@router.get('/v2/stock')\ndef listed(limit, offset):\n    return cache.get('SELECT name FROM shelves')\n"
+)
+STOCK_JOBS = "def refill(rows):\n    for row in rows:\n        while row:\n            row = None\n"
+SHIPPING = (
+    "import requests\n@app.post('/parcels')\ndef send(order):\n    left = requests.get('http://stock.local/v2/stock/17')\n"
+    "    requests.put('http://stock.local/v2/reserve')\n    return left\n"
 )
 
 
-def billing(names):
-    return "\n".join(f"@app.route('/api/billing/{n}')\ndef {n}_(): pass" for n in names)
+def wide(n):
+    """A module of ``n`` routes, their verbs in turn."""
+    verbs = ["get", "post", "delete"]
+    return "\n".join(f"@app.{verbs[k % 3]}('/report/{k}')\ndef report_{k}(day): pass" for k in range(n))
 
 
 def tree(spark, extra=()):
-    names = [f"e{i}" for i in range(23)]
-    data = [("r", "auth", "auth-service/main.py", AUTH), ("r", "user", "user-service/main.py", USER),
-            ("r", "billing", "billing-service/main.py", billing(names)), *extra]
+    data = [("shop", "stock", "stock/api/routes.py", STOCK), ("shop", "stock", "stock/jobs/nightly/refill.py", STOCK_JOBS),
+            ("shop", "shipping", "shipping/app.py", SHIPPING), *extra]
     return spark.createDataFrame(data, FILES)
 
 
-def test_three_services(spark):
-    found = facts.file_facts(tree(spark)).cache()
+def test_services_of_several_files_and_frameworks(spark):
+    reports = [("shop", f"reports{n}", f"reports{n}/app.py", wide(n)) for n in (20, 21)]
+    found = facts.file_facts(tree(spark, reports)).cache()
     rolled = rollups.service_rollup(found)
-    assert rows(rolled, "service", "n_files", "n_endpoints", "n_external_dependencies") == [
-        ("auth", 1, 2, 0), ("billing", 1, 23, 0), ("user", 1, 2, 1)]
-    assert rows(smells.service_smells(rolled), "type", "location", "description") == [
-        ("god_service", "billing", "Service has 23 endpoints, consider splitting")]
-    # The path user calls is not one auth declares.
-    assert dependencies.endpoint_dependencies(facts.endpoints(found), found).count() == 0
+    assert rows(rolled, "service", "n_files", "complexity", "n_endpoints", "n_tables", "n_external_dependencies") == [
+        ("reports20", 1, 1, 20, 0, 0), ("reports21", 1, 1, 21, 0, 0), ("shipping", 1, 1, 1, 0, 1), ("stock", 2, 4, 1, 1, 1)]
+    assert rows(smells.service_smells(rolled), "type", "location") == [("god_service", "reports21")]
+    # Of the two paths that shipping calls, stock declares one; the other, /v2/reserve, is nobody's.
+    assert rows(dependencies.endpoint_dependencies(facts.endpoints(found), found), "source", "target", "path") == [("shipping", "stock", "/v2/stock")]
 
 
 def test_god_service_and_complexity_thresholds(spark):
@@ -47,9 +52,9 @@ def test_god_service_and_complexity_thresholds(spark):
 
 
 def test_services_without_files_keep_zeros(spark):
-    listed = spark.createDataFrame([("r", "auth"), ("r", "empty")], "repo_id string, service string")
+    listed = spark.createDataFrame([("shop", "shipping"), ("shop", "empty")], "repo_id string, service string")
     rolled = rollups.service_rollup(facts.file_facts(tree(spark)), listed)
-    assert rows(rolled, "service", "n_files", "complexity") == [("auth", 1, 1), ("empty", 0, 0)]
+    assert rows(rolled, "service", "n_files", "complexity") == [("empty", 0, 0), ("shipping", 1, 1)]
 
 
 def mentions(spark, declared, code):

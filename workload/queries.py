@@ -291,6 +291,12 @@ def circular_dependencies(spark, sf):
     return _joined(graphs.simple_cycles(view(spark, sf, "service_edges")), "cycle")
 
 
+@query
+def circular_groups(spark, sf):
+    edges = dependencies.dependency_edges(_dependencies(stored_facts(spark, sf)))
+    return graphs.strong_components(edges).withColumnRenamed("node", "service")
+
+
 @query
 def over_complex_services(spark, sf):
     return smells.over_complex_services(rollups.service_rollup(file_facts(spark, sf)))
