@@ -375,12 +375,12 @@ SELECT w.repo_id, w.start, e.target, CASE WHEN e.target = w.start THEN w.nodes E
 FROM o_walks AS w JOIN service_edges AS e ON w.repo_id = e.repo_id AND w.tail = e.source
 WHERE NOT w.closed AND (e.target = w.start OR (e.target > w.start AND NOT list_contains(w.nodes, e.target)))"""
 BODIES["circular_dependencies"] = "SELECT repo_id, array_to_string(nodes, ',') AS cycle FROM o_walks WHERE closed"
-PARTS["o_reach"] = """
+PARTS["o_round"] = """
 SELECT repo_id, source AS a, target AS b FROM o_edges
-UNION SELECT r.repo_id, r.a, e.target FROM o_reach AS r JOIN o_edges AS e ON e.repo_id = r.repo_id AND e.source = r.b"""
+UNION SELECT r.repo_id, r.a, e.target FROM o_round AS r JOIN o_edges AS e ON e.repo_id = r.repo_id AND e.source = r.b"""
 BODIES["circular_groups"] = """
 SELECT x.repo_id, min(x.b) AS component, x.a AS service
-FROM o_reach AS x JOIN o_reach AS y ON y.repo_id = x.repo_id AND y.a = x.b AND y.b = x.a GROUP BY x.repo_id, x.a"""
+FROM o_round AS x JOIN o_round AS y ON y.repo_id = x.repo_id AND y.a = x.b AND y.b = x.a GROUP BY x.repo_id, x.a"""
 BODIES["over_complex_services"] = """
 SELECT repo_id, service, complexity, 'Consider breaking down ' || service || ' - complexity score: ' || complexity
        AS recommendation FROM o_rollup WHERE complexity > 100"""
