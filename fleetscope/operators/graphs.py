@@ -45,7 +45,7 @@ def least_reaching(edges: DataFrame, key: str) -> DataFrame:
     found = cut_lineage(nodes.withColumn("least", F.col("node")))
     while True:
         pushed = edges.join(found.withColumnRenamed("node", "source"), [key, "source"]).groupBy(key, F.col("target").alias("node")).agg(F.min("least").alias("pushed"))
-        grown = cut_lineage(found.join(pushed, [key, "node"], "left").select(key, "node", F.least("least", "pushed").alias("next"), F.col("least").alias("before")))
+        grown = found.join(pushed, [key, "node"], "left").select(key, "node", F.least("least", "pushed").alias("next"), F.col("least").alias("before"))
         jump = grown.select(key, F.col("node").alias("next"), F.col("next").alias("jumped"))
         grown = cut_lineage(grown.join(jump, [key, "next"]).select(key, "node", F.least("next", "jumped").alias("least"), "before"))
         found = grown.select(key, "node", "least")
@@ -95,9 +95,9 @@ def inner_edges(edges: DataFrame, components: DataFrame, key: str) -> DataFrame:
 def simple_cycles(edges: DataFrame, key: str = "repo_id") -> DataFrame:
     """Every simple cycle once, starting at its smallest node: ``key, cycle``.
 
-    Paths stay inside strong components: what lies before, behind or between cycles is never walked.
+    Where long paths lie between cycles, hand on ``inner_edges`` of the strong components: they are not walked then.
     """
-    core = cut_lineage(inner_edges(edges, strong_components(edges, key), key))
+    core = cyclic_core(edges, key)
     step = core.withColumnsRenamed({"source": "tail", "target": "next"})
     loops = core.filter("source = target").select(key, F.array("source").alias("cycle"))
     paths = core.filter("source < target").select(
