@@ -4,13 +4,13 @@ Parser events of the standard library turn a page into lines, one per block elem
 with its characters, its tags and the region it stands in. The ratios of characters to tags
 are smoothed with a Gaussian; a region whose smoothed ratios reach the threshold is
 content and keeps all its lines, short ones too. Menus, notices and the like that the markup itself
-names never count as content.
+names do not count as content; a name alone never takes an article away that outweighs all the rest.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -35,6 +35,9 @@ _NAMED = frozenset(
     "footer gdpr login menu modal nav navbar navigation newsletter notice notices popup promo promotion related replies share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+_BODIES = frozenset("article content entry post story".split())
+#: How many times the text of all unnamed content an article of a doubtful name must have.
+OUTWEIGHS = 4
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Elements whose end HTML lets one leave out, and the starts that end them.
@@ -42,42 +45,58 @@ _ENDS = {"p": _BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "
 
 
 def _excluded(tag: str, attributes: list[tuple[str, str | None]], in_main: bool) -> bool:
+    """Whether the element, its role or its style rule it out, whatever its name."""
     if tag in _NEVER or (tag == "header" and not in_main):
         return True
     for name, value in attributes:
-        value = value or ""
-        if name in ("class", "id"):
-            names = {w.lower() for w in _WORD.findall(value)}
-            if names & _NAMED and tag not in ("html", "body") or "header" in names and not in_main and tag == "div":
-                return True
-        elif name == "role" and value.strip().lower() in _ROLES:
+        value = (value or "").strip().lower()
+        if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
-            return True
-        elif name == "style" and "display:none" in "".join(value.lower().split()):
+        if name == "style" and "display:none" in "".join(value.split()):
             return True
     return False
 
 
+def _names(attributes: list[tuple[str, str | None]]) -> set[str]:
+    return {w.lower() for name, value in attributes if name in ("class", "id") for w in _WORD.findall(value or "")}
+
+
+def _side_name(tag: str, names: set[str], in_main: bool) -> bool:
+    """Whether class or id name something beside the article."""
+    return bool(names & _NAMED) and tag not in ("html", "body") or "header" in names and not in_main and tag == "div"
+
+
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, region, and whether the region is a main one."""
+    """Lines of a page: text, tags, region, whether the region is a main one, and the doubtful element it stands in (0: none).
+
+    Doubtful is an article whose name says that it is something else.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, excluded, region, in a main region
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.stack: list[tuple[str, bool, int, bool, int]] = []  # tag, excluded, region, in a main region, doubtful element
+        self.open: Counter[str] = Counter()
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.parts: list[str] = []
-        self.tags, self.regions = 0, 0
+        self.held: list[tuple[int, list[str]]] = []
+        self.tags, self.regions, self.doubts = 0, 0, 0
 
     @property
-    def top(self) -> tuple[str, bool, int, bool]:
-        return self.stack[-1] if self.stack else ("", False, 0, False)
+    def top(self) -> tuple[str, bool, int, bool, int]:
+        return self.stack[-1] if self.stack else ("", False, 0, False, 0)
+
+    def _push(self, tag: str, *state) -> None:
+        self.stack.append((tag, *state))
+        self.open[tag] += 1
+
+    def _pop(self) -> None:
+        self.open[self.stack.pop()[0]] -= 1
 
     def _flush(self) -> None:
-        _, excluded, region, main = self.top
+        _, excluded, region, main, doubt = self.top
         text = " ".join("".join(self.parts).split())
         if text and not excluded:
-            self.lines.append((text, self.tags, region, main))
+            self.lines.append((text, self.tags, region, main, doubt))
             self.tags = 0
         elif text:
             self.tags = 0
@@ -92,9 +111,16 @@ class Lines(HTMLParser):
         if tag in _VOID:
             return
         while self.stack and tag in _ENDS.get(self.stack[-1][0], ()):
-            self.stack.pop()
-        _, excluded, region, main = self.top
-        own = _excluded(tag, attributes, main)
+            self._pop()
+        _, excluded, region, main, doubt = self.top
+        own, names = _excluded(tag, attributes, main), _names(attributes)
+        if not own and _side_name(tag, names, main):
+            if tag in _MAIN or tag in _REGIONS and names & _BODIES:
+                if not doubt:
+                    self.doubts += 1
+                    doubt = self.doubts
+            else:
+                own = True
         if excluded and tag in _MAIN and not own and self.stack[-1][0] in ("nav", "header", "form"):
             excluded = False  # an end tag was left out, or a form wraps the whole page
         if tag in _REGIONS and not main:
@@ -103,23 +129,22 @@ class Lines(HTMLParser):
         # Inline words never leave a line: a hidden span is cut out of it.
         if own and not excluded and tag not in _BLOCKS:
             text, self.parts = self.parts, []
-            self.stack.append((tag, True, region, main))
-            self.held = getattr(self, "held", [])
+            self._push(tag, True, region, main, doubt)
             self.held.append((len(self.stack), text))
             return
-        self.stack.append((tag, excluded or own, region, main))
+        self._push(tag, excluded or own, region, main, doubt)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCKS:
             self._flush()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                held = getattr(self, "held", [])
-                while held and held[-1][0] > i:
-                    self.parts = held.pop()[1]
-                del self.stack[i:]
-                break
+        if not self.open[tag]:
+            return  # nothing to close: the stack is not searched
+        while self.stack[-1][0] != tag:
+            self._pop()
+        self._pop()
+        while self.held and self.held[-1][0] > len(self.stack):
+            self.parts = self.held.pop()[1]
 
     def handle_data(self, data: str) -> None:
         if not self.top[1]:
@@ -133,24 +158,39 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str) -> str:
-    """The content lines of a page, joined by one space."""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser._flush()
-    lines = parser.lines
+def _content(lines: list[tuple[str, int, int, bool, int]]) -> str:
+    """Lines of the regions whose smoothed ratios reach the threshold."""
     if not lines:
         return ""
-    smooth = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
+    smooth = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
     best: dict[int, float] = {}
-    for (_, _, region, _), value in zip(lines, smooth, strict=True):
+    for (_, _, region, *_), value in zip(lines, smooth, strict=True):
         best[region] = max(best.get(region, 0.0), float(value))
-    mains = {region for _, _, region, main in lines if main}
+    mains = {region for _, _, region, main, _ in lines if main}
     rivals = {r: v for r, v in best.items() if not mains or r in mains}
     threshold = min(THRESHOLD * float(smooth.std()), max(rivals.values()))
     content = {r for r, v in rivals.items() if v >= threshold}
-    return " ".join(text for text, _, region, _ in lines if region in content)
+    return " ".join(text for text, _, region, *_ in lines if region in content)
+
+
+def main_text(html: str) -> str:
+    """The content lines of a page, joined by one space.
+
+    They come from what has no doubtful name, unless one doubtful element holds ``OUTWEIGHS`` times as much text or more.
+    """
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    parser._flush()
+    plain = _content([line for line in parser.lines if not line[4]])
+    weights: Counter[int] = Counter()
+    for text, *_, doubt in parser.lines:
+        if doubt:
+            weights[doubt] += len(text)
+    for doubt, weight in weights.most_common(1):
+        if weight >= OUTWEIGHS * len(plain):
+            return _content([line for line in parser.lines if line[4] == doubt])
+    return plain
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:

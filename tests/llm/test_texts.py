@@ -2,6 +2,7 @@
 
 import io
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -164,3 +165,18 @@ def test_damaged_archives(tmp_path):
     assert len(list(warc.read_archive(io.BytesIO(data)))) == 40
     with pytest.raises(Exception):
         list(warc.read_archive(io.BytesIO(data[:-3])))
+
+
+def test_a_name_alone_takes_no_article_away():
+    body = "".join(f"<p>Sentence {i} of the story, long enough to count as text.</p>" for i in range(9))
+    told = " ".join(f"Sentence {i} of the story, long enough to count as text." for i in range(9))
+    for start, end in (('<div class="post-share-article">', "</div>"), ('<article id="comments-on-trade">', "</article>")):
+        assert html.main_text(f"<body><nav>menu</nav><div class=side><p>Note</p></div>{start}{body}{end}</body>") == told
+    comment = '<div class="comment-content"><p>I liked the story very much, thank you.</p></div>'
+    assert html.main_text(f"<body><main>{body}</main><div class=comments>{comment * 9}</div>{comment}</body>") == told
+
+
+def test_unmatched_end_tags_take_linear_time():
+    start = time.perf_counter()
+    assert html.main_text("<div>" * 50_000 + "words of the page" + "</b>" * 50_000) == "words of the page"
+    assert time.perf_counter() - start < 5
