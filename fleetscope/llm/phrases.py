@@ -33,6 +33,8 @@ TABLE_BITS, BITS_EACH = 27, 64
 HELD = 1 << 21
 #: Longer words go through the trie as a digest of 128 bits.
 LONG_WORD = 64
+#: Parts of a language whose first phrases are taken before all of them meet in one task.
+PARTS = 8
 _STOP = b"."
 _NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _STOP * 9)
 _PIECE_END = re.compile(rb"[.,;:!?\x0a-\x0d]")
@@ -411,6 +413,9 @@ def collocations(
     )
     inner = inner.groupBy("lang", "phrase").agg(F.max("most").alias("most"))
     kept = scored.join(inner, ["lang", "phrase"], "left").filter(F.col("most").isNull() | (F.col("most") * 100 < F.col("a") * contained_percent))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    order = [F.desc("cut.score"), F.desc("a"), F.col("phrase")]
+    # A phrase among the first of its language is among the first of its part: one task sorts PARTS * top rows at most.
+    parted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    first = kept.withColumn("rank", F.row_number().over(parted)).filter(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
