@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +14,18 @@ def read_changes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def write_analysis(tables: dict[str, DataFrame], root: str, run_ts: str, fmt: str = "parquet") -> None:
-    """Appends every result table of a run below ``root/<table>/run_ts=...``."""
+    """Writes every result table of a run below ``root/<table>/run_ts=...``.
+
+    A run that is repeated under its ``run_ts`` takes the place of what it wrote before; other runs stay.
+    A table without rows changes nothing.
+    """
     for name, table in tables.items():
-        table.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("run_ts").format(fmt).save(f"{root}/{name}")
+        writer = table.withColumn("run_ts", F.lit(run_ts)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("run_ts").format(fmt).save(f"{root}/{name}")
 
 
 def write_plans(plans: DataFrame, root: str, run_ts: str, fmt: str = "parquet") -> None:
-    """Appends plans by run: a directory per plan would not scale to many plans."""
+    """Writes plans by run: a directory per plan would not scale to many plans."""
     write_analysis({"plans": plans}, root, run_ts, fmt)
 
 
@@ -35,8 +41,20 @@ def write_results(results: DataFrame, root: str, run_ts: str, fmt: str = "parque
 
 
 def append_ledger(commits: DataFrame, path: str) -> None:
-    """Adds ``plan_id, step_id, commit_id, timestamp, message`` rows; nothing is rewritten."""
-    commits.select("plan_id", "step_id", "commit_id", "timestamp", "message").write.mode("append").parquet(path)
+    """Adds the distinct ``plan_id, step_id, commit_id, timestamp, message`` rows that the ledger lacks; nothing is rewritten.
+
+    So a repeated run adds each entry once. A ledger has one writer at a time.
+    """
+    entries = commits.select("plan_id", "step_id", "commit_id", "timestamp", "message")
+    try:
+        known = read_ledger(commits.sparkSession, path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        new = entries.distinct()
+    else:
+        new = entries.subtract(known)
+    new.write.mode("append").parquet(path)
 
 
 def ledger_state(ledger: DataFrame) -> DataFrame:

@@ -42,6 +42,23 @@ def test_ledger(spark, tmp_path):
     assert rows(tables.ledger_state(ledger), "step_id", "commit_id", "message") == [("s", "c3", "m3"), ("t", "c2", "m2")]
 
 
+def test_a_repeated_run_leaves_its_rows_once(spark, tmp_path):
+    first = spark.createDataFrame([("r", 1), ("s", 2)], "repo_id string, n int")
+    for table, run in [(first, "20260101-000000"), (first, "20260102-000000"), (first.limit(1), "20260101-000000")]:
+        tables.write_results(table, str(tmp_path), run)
+    got = spark.read.parquet(str(tmp_path / "results")).groupBy("run_ts").count()
+    assert rows(got) == [("20260101-000000", 1), ("20260102-000000", 2)]
+
+
+def test_ledger_entries_are_added_once(spark, tmp_path):
+    schema = "plan_id string, step_id string, commit_id string, timestamp timestamp, message string"
+    path, at = str(tmp_path / "ledger"), datetime.datetime(2026, 1, 1)
+    first = [("p", "s", "c1", at, "m"), ("p", None, "c2", None, None), ("p", "s", "c1", at, "m")]
+    tables.append_ledger(spark.createDataFrame(first, schema), path)
+    tables.append_ledger(spark.createDataFrame([*first, ("p", "s", "c3", at, "m")], schema), path)
+    assert rows(tables.read_ledger(spark, path), "commit_id") == [("c1",), ("c2",), ("c3",)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     data = [("c", i, f"f{i}.py", "modify", d, {}, []) for i, d in enumerate(["-@login_required", "+key = 'a'", "+x", "-def f(a):\n+def f(b):"])]
     batch = spark.createDataFrame(data, CHANGES)

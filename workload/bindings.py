@@ -170,6 +170,10 @@ SELECT 'p' || CAST(pl AS STRING) AS plan_id, CAST(o AS BIGINT) AS ordinal,
        p_size AS estimated_effort,
        CASE p_size % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END AS risk_level
 FROM part_keys""",
+    "ledger": """
+SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'p0' ELSE 'p' || CAST(o_custkey % 97 AS STRING) END AS plan_id,
+       's' || CAST(o_custkey % 13 AS STRING) AS step_id, 'c' || CAST(o_orderkey AS STRING) AS commit_id,
+       o_orderdate AS made_at, o_orderpriority AS message FROM orders""",
     "plan_priorities": """
 SELECT DISTINCT 'p' || CAST(pl AS STRING) AS plan_id,
        CASE pl % 4 WHEN 0 THEN '' WHEN 1 THEN 'ring,database' WHEN 2 THEN 'widget,api,ring,widget'

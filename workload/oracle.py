@@ -173,6 +173,12 @@ BODIES["file_complexity"] = """
 SELECT repo_id, path, true AS parses, CAST(2 + CASE WHEN n % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END
        AS INTEGER) AS complexity FROM ok_keys
 UNION ALL SELECT repo_id, path, false, NULL FROM code_files WHERE contains(content, 'def broken(')"""
+BODIES["ledger_state"] = """
+SELECT plan_id, step_id, commit_id, message, n_entries FROM (
+  SELECT *, count(*) OVER (PARTITION BY plan_id, step_id) AS n_entries,
+         row_number() OVER (PARTITION BY plan_id, step_id ORDER BY made_at DESC, commit_id DESC) AS place FROM ledger) t
+WHERE place = 1"""
+BODIES["facts_of_second_run"] = f"SELECT *, 0 AS parsed_again FROM ({BODIES['file_complexity']})"
 _imports = [
     ("k % 2 = 0", "requests", None, "import"), ("k % 5 = 0", "os.path", "p", "import"), ("k % 5 = 0", "sys", None, "import"),
     ("k % 7 = 0", "flask.Flask", None, "from_import"), ("k % 7 = 0", "flask.jsonify", "j", "from_import"),

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.operators import commits, dependencies, facts, graphs, risks, rollups, smells
 from fleetscope.plans import assembly, backlog, ordering
-from fleetscope.session import cut_lineage
+from fleetscope.session import cut_lineage, shared_folder
+from fleetscope.sources import fact_store, tables
 from fleetscope.sources import files as sources
 
 from .bindings import view
@@ -141,6 +143,16 @@ def file_complexity(spark, sf):
     return structure(spark, sf, "error", "complexity").select("repo_id", "path", F.col("error").isNull().alias("parses"), "complexity")
 
 
+@query
+def facts_of_second_run(spark, sf):
+    """Facts from a store that a run before has filled, with the number of contents parsed again."""
+    files, store = view(spark, sf, "code_files"), f"{shared_folder(spark)}/facts-{uuid4().hex}"
+    fact_store.refresh(files, store)
+    again = fact_store.refresh(files, store)
+    kept = fact_store.stored_file_facts(files, store)
+    return kept.select("repo_id", "path", F.col("error").isNull().alias("parses"), "complexity", F.lit(again).alias("parsed_again"))
+
+
 @query
 def imports(spark, sf):
     return facts.imports(structure(spark, sf, "imports"))
@@ -577,3 +589,14 @@ def test_suggestions(spark, sf):
 @query
 def first_test_suggestions(spark, sf):
     return commits.first_test_suggestions(*_run(spark, sf))
+
+
+@query
+def ledger_state(spark, sf):
+    """The latest commit of every step, from a ledger whose run was written twice."""
+    path, entries = f"{shared_folder(spark)}/ledger-{uuid4().hex}", view(spark, sf, "ledger").withColumnRenamed("made_at", "timestamp")
+    for _ in range(2):
+        tables.append_ledger(entries, path)
+    ledger = tables.read_ledger(spark, path)
+    size = ledger.groupBy("plan_id", "step_id").agg(F.count("*").alias("n_entries"))
+    return tables.ledger_state(ledger).drop("timestamp").join(size, ["plan_id", "step_id"])
