@@ -117,29 +117,57 @@ def simple_cycles(edges: DataFrame, key: str = "repo_id") -> DataFrame:
         paths = open_paths.select(key, F.array_append("cycle", F.col("next")).alias("cycle"), F.col("next").alias("tail"))
 
 
-def simple_paths(edges: DataFrame, key: str) -> DataFrame:
-    """Every simple path from a node without in-edges to one without out-edges: ``key, path``."""
-    step = cut_lineage(edges.select(key, F.col("source").alias("tail"), F.col("target").alias("next")).distinct())
-    heads = step.select(key, F.col("next").alias("tail"))
-    tails = step.select(key, F.col("tail").alias("next")).distinct().withColumn("goes_on", F.lit(True))
-    step = step.join(tails, [key, "next"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
-    roots = step.select(key, "tail").distinct().join(heads, [key, "tail"], "left_anti")
-    paths = roots.withColumn("path", F.array("tail"))
-    found = []
-    while True:
+def _passages(edges: DataFrame, components: DataFrame, key: str, keep: int) -> DataFrame:
+    """``key, source, target, via``: the ``keep`` longest simple paths through a component, from where one comes in to where
+    one goes out; ``via`` holds the nodes after ``source``. Only edges inside components are walked."""
+    inner = inner_edges(edges, components, key)
+    outer = edges.join(inner, [key, "source", "target"], "left_anti")
+    node = components.select(key, "node")
+    entries = outer.select(key, F.col("target").alias("node")).distinct().join(node, [key, "node"], "left_semi")
+    exits = outer.select(key, F.col("source").alias("node")).distinct().join(node, [key, "node"], "left_semi")
+    step = cut_lineage(inner.filter("source <> target").withColumnsRenamed({"source": "tail", "target": "next"}))
+    paths = cut_lineage(entries.select(key, F.col("node").alias("tail"), F.array("node").alias("path")))
+    walked = [paths]
+    while not paths.isEmpty():
         grown = paths.join(step, [key, "tail"]).filter(~F.array_contains("path", F.col("next")))
-        grown = cut_lineage(
-            grown.select(key, F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("tail"), "goes_on")
-        )
-        found.append(grown.filter(~F.col("goes_on")).select(key, "path"))
-        paths = grown.filter("goes_on").select(key, "path", "tail")
-        if paths.isEmpty():
-            return _union(found)
+        paths = cut_lineage(grown.select(key, F.col("next").alias("tail"), F.array_append("path", F.col("next")).alias("path")))
+        walked.append(paths)
+    rank = Window.partitionBy(key, F.get("path", F.lit(0)), "tail").orderBy(F.desc(F.size("path")), "path")
+    through = _union(walked).join(exits.withColumnRenamed("node", "tail"), [key, "tail"], "left_semi")
+    best = through.withColumn("position", F.row_number().over(rank)).filter(F.col("position") <= keep)
+    return best.select(
+        key, F.get("path", F.lit(0)).alias("source"), F.col("tail").alias("target"), F.slice("path", 2, F.size("path")).alias("via")
+    )
 
 
-def _in_degrees(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    degree = edges.groupBy(key, F.col("target").alias("node")).agg(F.count("*").alias("waits_for"))
-    return nodes.join(degree, [key, "node"], "left").fillna(0, ["waits_for"])
+def _place(node: Column, leaving: Column) -> Column:
+    return F.struct(node.alias("node"), leaving.alias("leaving"))
+
+
+def _acyclic_steps(edges: DataFrame, key: str, keep: int) -> DataFrame:
+    """``key, source, target, via`` without cycles, with the same ``keep`` longest paths as ``edges``.
+
+    Each node of a component stands twice, as a place to come in and one to leave from; the passages between
+    the two take the place of the edges inside the component.
+    """
+    components = strong_components(edges, key)
+    if components.isEmpty():
+        ends = [_place(F.col(end), F.lit(False)).alias(end) for end in ("source", "target")]
+        return edges.select(key, *ends, F.array("target").alias("via"))
+    inside = components.select(key, F.col("node").alias("source"), F.lit(True).alias("leaving"))
+    outer = edges.join(inner_edges(edges, components, key), [key, "source", "target"], "left_anti")
+    outer = outer.join(inside, [key, "source"], "left").select(
+        key, _place(F.col("source"), F.coalesce("leaving", F.lit(False))).alias("source"),
+        _place(F.col("target"), F.lit(False)).alias("target"), F.array("target").alias("via"),
+    )
+    through = _passages(edges, components, key, keep).select(
+        key, _place(F.col("source"), F.lit(False)).alias("source"), _place(F.col("target"), F.lit(True)).alias("target"), "via"
+    )
+    return outer.unionByName(through)
+
+
+#: Lengths beyond this stand on cycles only and are never read.
+_NO_LENGTH = 1 << 60
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, key: str = "plan_id") -> DataFrame:
@@ -148,33 +176,48 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, key: str = "plan_id")
     ``nodes`` holds ``key, node, weight``: weight 1 for a real node, 0 for a hub,
     which passes its level on without adding one. Edges must be distinct. Nodes
     on or behind a cycle get no row.
+
+    A common start (null) leads to every root. A node with one in-edge has the level of that edge's source plus its length, so
+    in each round all edges leaving such nodes start from their sources instead, and parallel edges become the longest of them.
+    Reach doubles from round to round along chains and through forks that join again: rounds follow the logarithm of a chain.
+    A node is settled when its one edge leaves the start; each round settles at least one that no cycle leads to. Where forks
+    do not join again, as in a grid, rounds still follow the longest path.
     """
-    outgoing = cut_lineage(edges.select(key, "source", "target"))
-    pending = _in_degrees(nodes, outgoing, key).withColumn("level", F.lit(0))
-    pending = cut_lineage(pending)
+    real = nodes.filter("weight = 1").select(key, "node").distinct()
+    length = nodes.select(key, F.col("node").alias("source"), F.col("weight").cast("long").alias("length"))
+    given = edges.select(key, "source", "target").join(length, [key, "source"])
+    roots = nodes.select(key, F.col("node").alias("target")).distinct().join(edges.select(key, "target"), [key, "target"], "left_anti")
+    start = roots.withColumn("source", F.lit(None).cast(given.schema["source"].dataType)).withColumn("length", F.lit(0).cast("long"))
+    waiting = cut_lineage(given.unionByName(start))
     settled = []
     while True:
-        ready = pending.filter("waits_for = 0")
-        if ready.isEmpty():
+        single = waiting.groupBy(key, F.col("target").alias("node")).agg(
+            F.count("*").alias("n"), F.min("source").alias("from"), F.min("length").alias("before")
+        ).filter("n = 1").drop("n")
+        single = cut_lineage(single)
+        done = single.filter(F.col("from").isNull()).select(key, "node", F.col("before").cast("int").alias("level"))
+        if done.isEmpty():
             break
-        settled.append(ready.select(key, "node", "weight", "level"))
-        passed = (
-            ready.select(key, F.col("node").alias("source"), (F.col("level") + F.col("weight")).alias("passed"))
-            .join(outgoing, [key, "source"])
-            .groupBy(key, F.col("target").alias("node"))
-            .agg(F.count("*").alias("arrived"), F.max("passed").alias("passed"))
-        )
-        waiting = pending.filter("waits_for > 0").join(passed, [key, "node"], "left")
-        pending = cut_lineage(
-            waiting.select(
-                key, "node", "weight",
-                (F.col("waits_for") - F.coalesce("arrived", F.lit(0))).alias("waits_for"),
-                F.greatest("level", "passed").alias("level"),
-            )
+        settled.append(done)
+        # Settled nodes leave the table, so no edge may come to start from one.
+        at_end = done.select(key, F.col("node").alias("from"), F.col("level").cast("long").alias("at"))
+        single = single.join(at_end, [key, "from"], "left").select(
+            key, "node", F.when(F.col("at").isNull(), F.col("from")).alias("from"), (F.col("before") + F.coalesce("at", F.lit(0))).alias("before")
         )
+        left = waiting.join(done.select(key, F.col("node").alias("target")), [key, "target"], "left_anti")
+        moved = left.join(single.withColumnRenamed("node", "source"), [key, "source"], "left")
+        waiting = cut_lineage(moved.select(
+            key, F.when(F.col("before").isNull(), F.col("source")).otherwise(F.col("from")).alias("source"), "target",
+            F.least(F.col("length") + F.coalesce("before", F.lit(0)), F.lit(_NO_LENGTH)).alias("length"),
+        ).groupBy(key, "source", "target").agg(F.max("length").alias("length")))
     if not settled:
-        return pending.select(key, "node", "level").limit(0)
-    return _union(settled).filter("weight = 1").select(key, "node", "level")
+        return nodes.select(key, "node", F.lit(0).alias("level")).limit(0)
+    return _union(settled).join(real, [key, "node"], "left_semi")
+
+
+def _in_degrees(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    degree = edges.groupBy(key, F.col("target").alias("node")).agg(F.count("*").alias("waits_for"))
+    return nodes.join(degree, [key, "node"], "left").fillna(0, ["waits_for"])
 
 
 def _best(paths: Column, keep: int) -> Column:
@@ -184,33 +227,41 @@ def _best(paths: Column, keep: int) -> Column:
 
 
 def longest_paths(edges: DataFrame, key: str = "plan_id", keep: int = 3) -> DataFrame:
-    """The ``keep`` longest root-to-leaf paths per graph: ``key, position, path``.
+    """The ``keep`` longest simple root-to-leaf paths per graph: ``key, position, path``.
 
-    Acyclic graphs pass only the ``keep`` best partial paths from node to node:
-    a path ranked lower at a node cannot rank higher further on, so the
-    exponential number of paths is never listed. Graphs with a cycle, where that
-    argument fails, enumerate their simple paths.
+    Nodes pass only the ``keep`` best partial paths on: a path ranked lower at a
+    node cannot rank higher further on, so the exponential number of paths is
+    never listed. That needs a graph without cycles. A path that has left a
+    strong component never comes back, so simple paths are listed inside
+    components only, and the best of them stand as edges of an acyclic graph.
     """
-    outgoing = cut_lineage(edges.select(key, "source", "target").distinct())
+    given = cut_lineage(edges.select(key, "source", "target").distinct())
+    outgoing = cut_lineage(_acyclic_steps(given, key, keep))
     nodes = outgoing.select(key, F.explode(F.array("source", "target")).alias("node")).distinct()
-    sources = outgoing.select(key, F.col("source").alias("node")).distinct().withColumn("goes_on", F.lit(True))
-    nodes = nodes.join(sources, [key, "node"], "left")
-    pending = _in_degrees(nodes, outgoing, key)
-    pending = cut_lineage(
-        pending.withColumn("paths", F.when(F.col("waits_for") == 0, F.array(F.array("node"))))
-    )
+    # Roots and leaves are those of the given graph: a cycle without a way in is no root, one without a way out no leaf.
+    leaf = given.select(key, F.col("target").alias("leaf")).distinct().join(
+        given.select(key, F.col("source").alias("leaf")), [key, "leaf"], "left_anti").withColumn("is_leaf", F.lit(True))
+    root = given.select(key, F.col("source").alias("root")).distinct().join(
+        given.select(key, F.col("target").alias("root")), [key, "root"], "left_anti").withColumn("is_root", F.lit(True))
+    named = nodes.withColumn("leaf", F.col("node.node")).withColumn("root", F.col("node.node"))
+    named = named.join(leaf, [key, "leaf"], "left").join(root, [key, "root"], "left")
+    none = F.array().cast("array<array<string>>")
+    pending = _in_degrees(named.select(key, "node", "is_leaf", "is_root"), outgoing, key)
+    pending = cut_lineage(pending.select(
+        key, "node", "is_leaf", "waits_for", F.when(F.col("is_root"), F.array(F.array("node.node"))).otherwise(none).alias("paths")
+    ))
     rank = Window.partitionBy(key, "node").orderBy(F.desc(F.size("path")), "path")
     leaves = []
     while True:
         ready = pending.filter("waits_for = 0")
         if ready.isEmpty():
             break
-        leaves.append(ready.filter("goes_on IS NULL").select(key, F.explode("paths").alias("path")))
+        leaves.append(ready.filter("is_leaf").select(key, F.explode("paths").alias("path")))
         moves = ready.select(key, F.col("node").alias("source"), "paths").join(outgoing, [key, "source"])
         arrivals = moves.groupBy(key, F.col("target").alias("node")).agg(F.count("*").alias("arrived"))
         offered = (
-            moves.select(key, F.col("target").alias("node"), F.explode("paths").alias("path"))
-            .withColumn("path", F.array_append("path", F.col("node")))
+            moves.select(key, F.col("target").alias("node"), "via", F.explode("paths").alias("path"))
+            .withColumn("path", F.concat("path", "via"))
             .withColumn("position", F.row_number().over(rank))
             .filter(F.col("position") <= keep)
             .groupBy(key, "node").agg(F.collect_list("path").alias("offered"))
@@ -218,20 +269,15 @@ def longest_paths(edges: DataFrame, key: str = "plan_id", keep: int = 3) -> Data
         waiting = pending.filter("waits_for > 0").join(arrivals, [key, "node"], "left").join(offered, [key, "node"], "left")
         pending = cut_lineage(
             waiting.select(
-                key, "node", "goes_on",
+                key, "node", "is_leaf",
                 (F.col("waits_for") - F.coalesce("arrived", F.lit(0))).alias("waits_for"),
-                F.when(F.col("offered").isNull(), F.col("paths"))
-                .otherwise(_best(F.concat(F.coalesce("paths", F.array().cast("array<array<string>>")), "offered"), keep))
-                .alias("paths"),
+                _best(F.concat("paths", F.coalesce("offered", none)), keep).alias("paths"),
             )
         )
-    cyclic = pending.select(key).distinct()
-    complete = [_union(leaves).join(cyclic, key, "left_anti")] if leaves else []
-    if not cyclic.isEmpty():
-        complete.append(simple_paths(outgoing.join(cyclic, key, "left_semi"), key))
-    paths = _union(complete) if complete else outgoing.select(key, F.array("source").alias("path")).limit(0)
+    if not leaves:
+        return given.select(key, F.lit(1).alias("position"), F.array("source").alias("path")).limit(0)
     order = Window.partitionBy(key).orderBy(F.desc(F.size("path")), "path")
-    return paths.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= keep).select(
+    return _union(leaves).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= keep).select(
         key, "position", "path"
     )
 

@@ -168,3 +168,46 @@ def test_no_edges(spark):
     assert graphs.longest_paths(none).count() == 0
     empty = spark.createDataFrame([], "repo_id string, service string, table string")
     assert graphs.sharing_groups(empty).count() == 0
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    made = []
+    cut = graphs.cut_lineage
+    monkeypatch.setattr(graphs, "cut_lineage", lambda df: made.append(1) or cut(df))
+    return made
+
+
+def test_rounds_of_levels_follow_the_logarithm_of_a_chain(spark, rounds):
+    names = [f"n{i:04d}" for i in range(2000)]
+    chain = list(zip(names, names[1:]))
+    # Beside it, forks that join again, 300 in a row.
+    forks = [e for i in range(300) for side in "xy" for e in ((f"f{i:03d}", f"{side}{i:03d}"), (f"{side}{i:03d}", f"f{i + 1:03d}"))]
+    ring = [("r0", "r1"), ("r1", "r0"), ("r1", "behind")]
+    edges = spark.createDataFrame([("p", *e) for e in chain + forks + ring], "plan_id string, source string, target string")
+    nodes = [("p", n, 1) for n in {n for e in chain + forks + ring for n in e}]
+    got = {r.node: r.level for r in graphs.topological_levels(spark.createDataFrame(nodes, "plan_id string, node string, weight int"), edges).collect()}
+    expected = {n: i for i, n in enumerate(names)}
+    expected |= {f"f{i:03d}": 2 * i for i in range(301)} | {f"{s}{i:03d}": 2 * i + 1 for i in range(300) for s in "xy"}
+    assert got == expected
+    assert len(rounds) < 60  # two stored tables a round
+
+
+def test_lengths_on_a_ring_do_not_overflow(spark):
+    """While the chain is settled, the lengths on the ring double each time."""
+    names = [f"n{i:02d}" for i in range(40)]
+    edges = spark.createDataFrame([("p", *e) for e in [*zip(names, names[1:]), ("r0", "r1"), ("r1", "r0")]],
+                                  "plan_id string, source string, target string")
+    nodes = spark.createDataFrame([("p", n, 1) for n in names] + [("p", "r0", 1 << 59), ("p", "r1", 1 << 59)],
+                                  "plan_id string, node string, weight long")
+    assert {r.node: r.level for r in graphs.topological_levels(nodes, edges).collect()} == {n: i for i, n in enumerate(names)}
+
+
+def test_critical_paths_of_a_lattice_behind_a_cycle(spark):
+    """Only the paths through the cycle are listed, those through the lattice are not."""
+    layers = [(f"m{k}{a}", f"m{k + 1}{b}") for k in range(8) for a in "xy" for b in "xy"]
+    ends = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("c", "m0x"), ("d", "m0x"), ("m8y", "z")]
+    edges = spark.createDataFrame([("p", *e) for e in layers + ends], "plan_id string, source string, target string")
+    got = [r.path for r in graphs.longest_paths(edges).orderBy("position").collect()]
+    first = ["a", "b", "c", "d", *[f"m{k}x" for k in range(8)], "m8y", "z"]
+    assert got == [first, [*first[:-3], "m7y", "m8y", "z"], [*first[:-4], "m6y", "m7x", "m8y", "z"]]
