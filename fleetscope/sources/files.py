@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..catalogue import SERVICE_CODE_SUFFIXES, SERVICE_LAYOUTS
 from ..functions import text
 from ..functions.arrays import explode_rows, inline_rows
+from ..operators.facts import file_facts
+
+#: Up to so many requested paths are broadcast to the scan of the texts; more are joined by a shuffle.
+BROADCAST_REQUESTS = 1_000_000
 
 
 def read_source_tree(spark: SparkSession, root: str, repo_id: str, glob: str = "*.py") -> DataFrame:
@@ -43,6 +47,14 @@ def requested_files(requested: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.withColumn("error", error).drop("found")
 
 
+def requested_file_facts(requested: DataFrame, files: DataFrame, broadcast_paths: int = BROADCAST_REQUESTS) -> DataFrame:
+    """:func:`requested_files` from the texts: only files that are asked for are parsed."""
+    wanted = requested.select("repo_id", "path").distinct()
+    few = wanted.limit(broadcast_paths + 1).count() <= broadcast_paths
+    texts = files.join(F.broadcast(wanted) if few else wanted, ["repo_id", "path"], "left_semi")
+    return requested_files(requested, file_facts(texts))
+
+
 def _layout_patterns() -> list[str]:
     return ["^(" + layout.replace("*", "[^/]*") + ")/" for layout in SERVICE_LAYOUTS]
 

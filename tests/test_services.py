@@ -1,4 +1,6 @@
+import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from fleetscope.operators import dependencies, facts, rollups, smells
 from fleetscope.sources import files as sources
@@ -153,3 +155,19 @@ def test_map_and_requests(spark):
     wanted = spark.createDataFrame([("r", "a/b/x.py"), ("r", "ab/y.py"), ("r", "gone.py")], "repo_id string, path string")
     assert rows(sources.requested_files(wanted, facts_), "path", "error") == [
         ("a/b/x.py", None), ("ab/y.py", "Syntax error in ab/y.py: bad"), ("gone.py", "File not found: gone.py")]
+
+
+@pytest.mark.parametrize("bound", [0, 10])
+def test_only_requested_files_are_parsed(spark, bound):
+    asked = ["shipping/app.py", "shipping/app.py", "gone.py", "bad.py", None]
+    wanted = spark.createDataFrame([("shop", p) for p in asked], "repo_id string, path string")
+    files = tree(spark, [("shop", "x", "bad.py", "def ("), ("other", "x", "gone.py", "y = 1\n"), ("shop", "x", None, "y = 1\n")])
+    got = sources.requested_file_facts(wanted, files, bound)
+    reason = F.regexp_extract("error", "^[^:]*: [a-z]*[.]py|^[^:]*", 0).alias("reason")
+    assert rows(got.select("path", reason, "complexity")) == [
+        ("bad.py", "Syntax error in bad.py", None), ("gone.py", "File not found: gone.py", None),
+        ("shipping/app.py", None, 1), ("shipping/app.py", None, 1), (None, None, None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # The texts are chosen below the parser.
+    assert plan.index("ArrowEvalPython") < plan.index("LeftSemi")
+    assert ("strategy=broadcast" in plan) == (bound > 0)

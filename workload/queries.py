@@ -190,7 +190,7 @@ def text_db_queries(spark, sf):
 
 @query
 def requested_files(spark, sf):
-    got = sources.requested_files(view(spark, sf, "file_requests"), file_facts(spark, sf))
+    got = sources.requested_file_facts(view(spark, sf, "file_requests"), view(spark, sf, "code_files"))
     reason = F.regexp_extract("error", "^(File not found: .*|Syntax error in [^:]*)", 1)
     return got.select("repo_id", "path", reason.alias("reason"), "complexity")
 
