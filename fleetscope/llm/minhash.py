@@ -7,10 +7,11 @@ packed into a signature whose matching positions give an estimate, corrected for
 collisions by chance; pairs far below the threshold are left. What remains is decided on
 the full shingle sets.
 
-Buckets are never paired out. In each of ``LEADER_ROUNDS`` rounds a bucket has one
+In each of ``LEADER_ROUNDS`` rounds a bucket has one
 leader, every member outside its component is estimated against it, and a text checks its
-best leader only: linear in the bucket, whatever its size. Texts that then hang together by estimates but not by
-links form a region. Its members outside the region's largest component are compared with all of
+best leader only: linear in the bucket, whatever its size. A leader has met its bucket and leaves it. What is left
+of a bucket, where it still holds several regions, is estimated block against block, so no pair that shares a band stays
+without an estimate. Texts that hang together by estimates but not by links form a region. Its members outside the region's largest component are compared with all of
 it, in blocks: estimates, then full sets, inside the task, which gives links and no pairs. Exact copies take part as one.
 """
 
@@ -32,6 +33,8 @@ PERMUTATIONS, ROWS, BITS = 128, 4, 2
 LEADER_ROUNDS = 2
 #: Members of a block where the rest of a region is compared.
 BLOCK = 384
+#: Members of a block where the rest of a bucket is estimated; these carry no texts.
+SIGNATURE_BLOCK = 4096
 #: How far the estimate of a linked pair may fall below the threshold: 5 standard deviations at 0.8.
 MARGIN = 0.21
 _FACTORS = np.random.default_rng(20_240_229).integers(1, 2**32, (2, PERMUTATIONS), dtype=np.uint64).astype(np.uint32)
@@ -145,6 +148,38 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int)
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _split(own: DataFrame, group: str, block: int) -> DataFrame:
+    """Rows of the groups that hold several ``comp``: with the ``largest`` and the numbers of blocks outside it, ``xs``, and of all, ``ys``."""
+    sizes = own.groupBy(group, "comp").agg(F.count("*").alias("n"))
+    split = sizes.groupBy(group).agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most")).filter("n > most.n")
+    split = split.select(group, F.col("most.comp").alias("largest"), F.ceil(F.col("n") / block).alias("ys"), F.ceil((F.col("n") - F.col("most.n")) / block).alias("xs"))
+    return own.join(split, group)
+
+
+def _dealt(inside: DataFrame, lot: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows outside the largest component and all rows, with the places ``x, y`` where each block of the ones meets each of the others."""
+    every = inside.withColumn("y", F.pmod(lot, "ys")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1)))
+    apart = inside.filter("comp <> largest").withColumn("x", F.pmod(lot, "xs")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)))
+    return apart, every
+
+
+def _named(buckets: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``bucket, m, comp`` with the labels of ``node`` in ``label``; a member without one stands for itself."""
+    named = buckets.select("bucket", "m", F.col("m.doc_id").alias("node")).join(labels, "node", "left")
+    return named.select("bucket", "m", F.coalesce(label, "node").alias("comp"))
+
+
+def bucket_links(buckets: DataFrame, possible: Column) -> DataFrame:
+    """Members ``a, b`` of one bucket but not of one ``comp`` for which ``possible`` holds, one ``b`` per text and component.
+
+    Members outside a bucket's largest component meet all of it, block against block, whatever its size.
+    """
+    apart, every = _dealt(stored(_split(buckets, "bucket", SIGNATURE_BLOCK), "bucket-rest"), F.xxhash64("m.doc_id"))
+    every = every.select("bucket", "x", "y", F.col("m").alias("o"), F.col("comp").alias("o_comp"))
+    met = apart.select("bucket", "x", "y", "m", "comp").join(every, ["bucket", "x", "y"]).filter(possible)
+    return met.groupBy(F.col("m.doc_id").alias("a"), "o_comp").agg(F.min("o.doc_id").alias("b")).select("a", "b")
+
+
 def region_links(regions: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` that join the components of each region, found block against block.
 
@@ -153,16 +188,11 @@ def region_links(regions: DataFrame, labels: DataFrame, reps: DataFrame, texts:
     whatever the size of a region, and gives back one link per text and component at most.
     """
     own = regions.join(labels, "node", "left").select("region", F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("comp"))
-    sizes = own.groupBy("region", "comp").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most")).filter("n > most.n")
-    split = split.select("region", F.col("most.comp").alias("largest"), F.ceil(F.col("n") / BLOCK).alias("ys"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("xs"))
-    inside = stored(own.join(split, "region"), "regions")
+    inside = stored(_split(own, "region", BLOCK), "regions")
     carried = inside.join(reps.select("doc_id", "n_shingles", *_SIGNATURE), "doc_id").join(texts, "doc_id")
     carried = stored(carried, "region-texts")
-    lot = F.xxhash64("doc_id")
     columns = ["region", "x", "y", "doc_id", "comp", "n_shingles", *_SIGNATURE, "text"]
-    every = carried.withColumn("y", F.pmod(lot, "ys")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1))).select(*columns)
-    apart = carried.filter("comp <> largest").withColumn("x", F.pmod(lot, "xs")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1))).select(*columns)
+    apart, every = (side.select(*columns) for side in _dealt(carried, F.xxhash64("doc_id")))
     chance, least = 2.0**-BITS, percent / 100 - MARGIN
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -237,12 +267,17 @@ def near_duplicates(
         found = stored(similar_pairs(pairs, texts, width, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        # Buckets within one component are done.
-        named = buckets.drop("comp").withColumn("node", F.col("m.doc_id")).join(labels, "node", "left")
-        named = stored(named.select("bucket", "m", F.coalesce("component", "node").alias("comp")), "named")
-        mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        buckets = stored(named.join(mixed, "bucket"), "buckets")
-    regions = components(close.unionByName(links)).select("node", F.col("component").alias("region"))
+        # Buckets within one component are done, and so is a leader: all others have met it.
+        named = stored(_named(buckets, labels, "component"), "named")
+        mixed = named.groupBy("bucket").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(lot.alias("lot"), F.col("m.doc_id").alias("doc_id"))).alias("led")
+        ).filter("lo <> hi").select("bucket", "led")
+        buckets = stored(named.join(mixed, "bucket").filter("m.doc_id <> led.doc_id").drop("led"), "buckets")
+    regions = components(close.unionByName(links))
+    rest = stored(bucket_links(_named(buckets, regions, "component"), possible), "met")
+    if not rest.isEmpty():
+        regions = components(close.unionByName(links).unionByName(rest))
+    regions = regions.select("node", F.col("component").alias("region"))
     found = stored(region_links(regions, labels, reps, texts, width, percent), "links")
     labels = components(links.unionByName(found))
     own = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("first.doc_id").alias("least"), F.coalesce("component", "rep").alias("component"))

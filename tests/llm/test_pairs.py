@@ -65,6 +65,17 @@ def test_near_duplicates(frame, monkeypatch, width, rounds):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], label[r.doc_id] == r.doc_id)
 
 
+def test_near_duplicates_in_one_bucket(frame, monkeypatch):
+    """Pairs that meet in one crowded bucket only, most of them far from every leader."""
+    signed, rng = minhash.signatures, random.Random(5)
+    monkeypatch.setattr(minhash, "signatures", lambda *a, **k: signed(*a, **k).withColumn("bands", F.array(F.lit(7).cast("long"))))
+    monkeypatch.setattr(minhash, "SIGNATURE_BLOCK", 8, raising=False)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(20)]
+    rows = [(2 * k + j, edited(rng, words, j)) for k, words in enumerate(texts) for j in (0, 1)]
+    got = minhash.near_duplicates(frame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2) for i in range(40)]
+
+
 def test_near_duplicates_of_ids_with_several_texts(frame):
     a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
     near = lambda words, at: " ".join([*words[:at], "other", *words[at + 1 :]])
