@@ -65,6 +65,18 @@ def test_file_that_does_not_parse_has_only_an_error(spark):
     assert text_only.error is None and text_only.endpoints[0].path == "/x"
 
 
+def test_complexity_alone_is_that_of_all_facts():
+    texts = [
+        SAMPLE, "x = 1or 2\n", "x = f'{a and b or c} or d'\n", "android, order = 'a and b', 1  # or\n", "x = [a for a in b if c]\nlambda: 0 if x else 1\n",
+        "async def f():\n    async for a in b:\n        for c in d:\n            pass\n    else:\n        while x:\n            pass\n",
+        "try:\n    pass\nexcept* A:\n    if x:\n        pass\nelse:\n    for a in b: pass\nfinally:\n    with a:\n        if b: pass\n        elif c: pass\n",
+        "match a:\n    case 1 if b:\n        if c: pass\n    case _:\n        while d: pass\n", "def broken(", "\x00", "class A:\n    class B:\n        def f(self):\n            if a: pass\n",
+    ]
+    for text in [*texts, *(t + "y = a or b\n" for t in texts)]:
+        every, alone = python_ast.parse(text.encode()), python_ast.parse(text.encode(), summary=True)
+        assert (alone["error"], alone.get("complexity")) == (every["error"], every.get("complexity"))
+
+
 def test_endpoint_patterns(spark):
     code = (
         '@app.post("/a")\n@app.route("/m", methods=["GET"])\n@app.patch("/p")\n@router.delete(\'/b\')\n'
