@@ -8,6 +8,8 @@ dropped before anything is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,17 @@ from ..functions.arrays import explode_rows, inline_rows
 SPAN_SEGMENTS = 8
 
 
-def parsed(files: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """Adds ``ast``, a struct of ``fields``: error, complexity, imports, classes, functions; all if none are named."""
+def parsed(files: DataFrame, fields: list[str] | None = None, having: list[str] | None = None) -> DataFrame:
+    """Adds ``ast``, a struct of ``fields``: error, complexity, imports, classes, functions; all if none are named.
+
+    With ``having``, texts without any of these ``TEXT_FACTS`` are not handed to the parser. A filter in front of it would be
+    moved into the scan, which may have few tasks; so the choice is part of the parser's input.
+    """
     parse = python_ast.parser(list(python_ast.FACTS) if fields is None else fields)
-    return files.withColumn("ast", parse(F.col("content").cast("binary")))
+    content = F.col("content")
+    if having is not None:
+        content = F.when(reduce(Column.__or__, [F.size(TEXT_FACTS[name](content)) > 0 for name in having]), content)
+    return files.withColumn("ast", parse(content.cast("binary")))
 
 
 def structure_facts(files: DataFrame, *fields: str) -> DataFrame:
@@ -106,27 +115,36 @@ def mentioned_paths(content: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(called, F.lit(r"""/[^\s'"`?#,;()]+"""), F.lit(0)))
 
 
-def file_facts(files: DataFrame, require_parse: bool = True) -> DataFrame:
+#: Facts that patterns find in the text.
+TEXT_FACTS = {
+    "external_dependencies": library_names,
+    "endpoints": declared_endpoints,
+    "db_queries": database_accesses,
+    "mentioned_paths": mentioned_paths,
+}
+
+
+def file_facts(files: DataFrame, require_parse: bool = True, having: list[str] | None = None) -> DataFrame:
     """One narrow row per file: everything the service-level jobs need.
 
     Files that do not parse keep their ``error`` and have null facts. With
     ``require_parse=False`` the text facts are taken from any language.
+
+    With ``having``, names of ``TEXT_FACTS``, only files in whose text at least one of them is found are parsed; the others
+    have null facts, and no ``error`` is given. Whoever lists these facts alone gets the same rows.
     """
     keys = _keys(files)
     if require_parse:
-        files = parsed(files, python_ast.SUMMARY)
+        files = parsed(files, python_ast.SUMMARY, having)
     else:
         files = files.withColumn("ast", F.struct(F.lit(None).cast("string").alias("error"), F.lit(1).alias("complexity")))
     ok = F.col("ast.error").isNull()
     content = F.col("content")
     return files.select(
         *keys,
-        "ast.error",
+        *(["ast.error"] if having is None else []),
         F.when(ok, F.col("ast.complexity")).alias("complexity"),
-        F.when(ok, library_names(content)).alias("external_dependencies"),
-        F.when(ok, declared_endpoints(content)).alias("endpoints"),
-        F.when(ok, database_accesses(content)).alias("db_queries"),
-        F.when(ok, mentioned_paths(content)).alias("mentioned_paths"),
+        *[F.when(ok, fact(content)).alias(name) for name, fact in TEXT_FACTS.items()],
     )
 
 

@@ -65,6 +65,14 @@ def test_file_that_does_not_parse_has_only_an_error(spark):
     assert text_only.error is None and text_only.endpoints[0].path == "/x"
 
 
+def test_only_files_with_a_wanted_fact_are_parsed(spark):
+    texts = {"api": "@app.get('/x')\ndef f():\n    if a and b:\n        pass\n", "plain": "x = 1\n", "bad": "@app.get('/y')\ndef import():\n", "none": None}
+    given = files(spark, **texts)
+    every, some = facts.file_facts(given).cache(), facts.file_facts(given, having=["endpoints", "db_queries"]).cache()
+    assert rows(facts.endpoints(some)) == rows(facts.endpoints(every)) and facts.endpoints(some).count() == 1
+    assert rows(some, "path", "complexity") == [("api", 3), ("bad", None), ("none", None), ("plain", None)]
+
+
 def test_complexity_alone_is_that_of_all_facts():
     texts = [
         SAMPLE, "x = 1or 2\n", "x = f'{a and b or c} or d'\n", "android, order = 'a and b', 1  # or\n", "x = [a for a in b if c]\nlambda: 0 if x else 1\n",

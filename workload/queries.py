@@ -39,13 +39,14 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
     return table.withColumn("line_changes", lines).withColumn("semantic_changes", semantic)
 
 
-def file_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.file_facts(view(spark, sf, "code_files"))
+def file_facts(spark: SparkSession, sf: str, *having: str) -> DataFrame:
+    """Facts of all files, or of those that have one of the facts a query lists rows of."""
+    return facts.file_facts(view(spark, sf, "code_files"), having=list(having) or None)
 
 
-def stored_facts(spark: SparkSession, sf: str) -> DataFrame:
+def stored_facts(spark: SparkSession, sf: str, *having: str) -> DataFrame:
     """Facts read by several operators: parsed once, kept as a narrow table."""
-    return cut_lineage(file_facts(spark, sf))
+    return cut_lineage(file_facts(spark, sf, *having))
 
 
 def structure(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
@@ -170,17 +171,17 @@ def functions(spark, sf):
 
 @query
 def external_dependencies(spark, sf):
-    return facts.external_dependencies(file_facts(spark, sf))
+    return facts.external_dependencies(file_facts(spark, sf, "external_dependencies"))
 
 
 @query
 def endpoints(spark, sf):
-    return facts.endpoints(file_facts(spark, sf))
+    return facts.endpoints(file_facts(spark, sf, "endpoints"))
 
 
 @query
 def db_queries(spark, sf):
-    return facts.db_queries(file_facts(spark, sf))
+    return facts.db_queries(file_facts(spark, sf, "db_queries"))
 
 
 @query
@@ -222,12 +223,12 @@ def mean_complexity(spark, sf):
 
 @query
 def service_tables(spark, sf):
-    return rollups.service_tables(file_facts(spark, sf))
+    return rollups.service_tables(file_facts(spark, sf, "db_queries"))
 
 
 @query
 def service_libraries(spark, sf):
-    return rollups.service_libraries(file_facts(spark, sf))
+    return rollups.service_libraries(file_facts(spark, sf, "external_dependencies"))
 
 
 def _dependencies(found: DataFrame) -> DataFrame:
@@ -242,12 +243,12 @@ def _metrics(found: DataFrame) -> DataFrame:
 
 @query
 def endpoint_dependencies(spark, sf):
-    return _dependencies(stored_facts(spark, sf))
+    return _dependencies(stored_facts(spark, sf, "endpoints", "mentioned_paths"))
 
 
 @query
 def dependency_edges(spark, sf):
-    return dependencies.dependency_edges(_dependencies(stored_facts(spark, sf)))
+    return dependencies.dependency_edges(_dependencies(stored_facts(spark, sf, "endpoints", "mentioned_paths")))
 
 
 @query
@@ -269,12 +270,12 @@ def dependents(spark, sf):
 
 @query
 def shared_tables(spark, sf):
-    return dependencies.shared_tables(rollups.service_tables(stored_facts(spark, sf)))
+    return dependencies.shared_tables(rollups.service_tables(stored_facts(spark, sf, "db_queries")))
 
 
 @query
 def sharing_groups(spark, sf):
-    return graphs.sharing_groups(rollups.service_tables(file_facts(spark, sf)))
+    return graphs.sharing_groups(rollups.service_tables(file_facts(spark, sf, "db_queries")))
 
 
 @query
@@ -284,7 +285,7 @@ def service_smells(spark, sf):
 
 @query
 def shared_database_smells(spark, sf):
-    return smells.shared_database_smells(dependencies.shared_tables(rollups.service_tables(stored_facts(spark, sf))))
+    return smells.shared_database_smells(dependencies.shared_tables(rollups.service_tables(stored_facts(spark, sf, "db_queries"))))
 
 
 def _smells(found: DataFrame) -> DataFrame:
@@ -305,7 +306,7 @@ def circular_dependencies(spark, sf):
 
 @query
 def circular_groups(spark, sf):
-    edges = dependencies.dependency_edges(_dependencies(stored_facts(spark, sf)))
+    edges = dependencies.dependency_edges(_dependencies(stored_facts(spark, sf, "endpoints", "mentioned_paths")))
     return graphs.strong_components(edges).withColumnRenamed("node", "service")
 
 
@@ -316,12 +317,12 @@ def over_complex_services(spark, sf):
 
 @query
 def unversioned_endpoints(spark, sf):
-    return smells.unversioned_endpoints(facts.endpoints(file_facts(spark, sf)))
+    return smells.unversioned_endpoints(facts.endpoints(file_facts(spark, sf, "endpoints")))
 
 
 @query
 def first_unversioned(spark, sf):
-    return smells.first_unversioned(facts.endpoints(file_facts(spark, sf)))
+    return smells.first_unversioned(facts.endpoints(file_facts(spark, sf, "endpoints")))
 
 
 @query
@@ -418,12 +419,12 @@ def domain_driven_steps(spark, sf):
 
 @query
 def event_driven_steps(spark, sf):
-    return _flat(backlog.event_driven_steps(requests(spark, sf), _dependencies(stored_facts(spark, sf))))
+    return _flat(backlog.event_driven_steps(requests(spark, sf), _dependencies(stored_facts(spark, sf, "endpoints", "mentioned_paths"))))
 
 
 @query
 def microservice_steps(spark, sf):
-    found = stored_facts(spark, sf)
+    found = stored_facts(spark, sf, "db_queries", "endpoints")
     groups = graphs.sharing_groups(rollups.service_tables(found))
     return _flat(backlog.microservice_steps(requests(spark, sf), groups, facts.endpoints(found)))
 
