@@ -20,17 +20,23 @@ from math import ceil, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, lengths, mix, per_worker, stored, text_bytes
+from .common import chunks, lengths, mix, new_path, stored, text_bytes
 
 #: Phrases of a trie shard, phrases of the shards that are broadcast together, phrases of a block of counts.
 SHARD, TOGETHER, BLOCK = 1 << 17, 1 << 20, 1 << 14
 #: Bits of a bit table at most, and bits for each frequent bucket below that.
 TABLE_BITS, BITS_EACH = 27, 64
-#: Distinct n-grams that a task holds before it hands them on.
+#: N-grams that a task holds before it hands them on.
 HELD = 1 << 21
+#: Bits of a bucket within its part; the parts follow the session's partitions.
+BUCKET_BITS = 24
+#: Phrases that a task gathers before it hands them on.
+GATHERED = 1 << 18
 #: Longer words go through the trie as a digest of 128 bits.
 LONG_WORD = 64
 #: Parts of a language whose first phrases are taken before all of them meet in one task.
@@ -39,18 +45,38 @@ _STOP = b"."
 _NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _STOP * 9)
 _PIECE_END = re.compile(rb"[.,;:!?\x0a-\x0d]")
 _SEGMENT = 4 << 20
-
-
-def tokens(data: bytes) -> list[bytes]:
-    """Words ``[^\\x20\\x09]+`` with A-Z lower-cased, and a stop for each of ``[.,;:!?\\x0A-\\x0D]``."""
-    return data.translate(_NORMAL).replace(_STOP, b" . ").split()
-
-
-class StopHashes(WordHashes):
-    """Hashes of words, 0 for a stop and for nothing else."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 0 if word == _STOP else super().__missing__(word) or 1
+#: Normalised text bytes of a row of coded texts, or one segment more.
+CODED_BYTES = 2 << 20
+_CODED = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("codes", pa.binary())])
+
+
+def _spelt(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, begins and sizes of words with a blank after each."""
+    text = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(text == 0x20)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    return text, begins, ends - begins
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of words with a blank after each, eight bytes of all words at a time; 0 for the first, which is the stop, and no other."""
+    text, begins, sizes = _spelt(data)
+    hashes = mix(sizes.astype(np.uint64))
+    long = np.flatnonzero(sizes > LONG_WORD)
+    who = np.flatnonzero(sizes <= LONG_WORD)
+    begins, sizes = begins[who], sizes[who]
+    while len(who):
+        eight = np.ascontiguousarray(text[np.minimum(begins[:, None] + np.arange(8), len(text) - 1)]).view("<u8")[:, 0]
+        eight &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * np.minimum(sizes, 8)).astype(np.uint64)
+        hashes[who] = mix(hashes[who] + eight)
+        more = sizes > 8
+        who, begins, sizes = who[more], begins[more] + 8, sizes[more] - 8
+    if len(long):
+        words = data.split(b" ")
+        hashes[long] = [xxhash.xxh3_64_intdigest(words[k]) for k in long.tolist()]
+    hashes[hashes == 0] = 1
+    hashes[0] = 0
+    return hashes
 
 
 def _segments(data: bytes) -> Iterator[bytes]:
@@ -62,116 +88,238 @@ def _segments(data: bytes) -> Iterator[bytes]:
     yield data[start:]
 
 
-def _token_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, list[bytes]]]:
-    """Of batches ``lang, text``: the languages of some texts, each text's number of tokens, and all tokens; each text ends with a stop."""
+def _width(words: int) -> str:
+    return "<u2" if words <= 1 << 16 else "<i4"
+
+
+def _rows_of(lang: str, parts: list[bytes]) -> pa.RecordBatch:
+    """A row ``lang, words, codes`` of normalised parts of texts, each ended by a stop: distinct words and the number of the word at each place.
+
+    Word 0 is the stop. Each of ``words`` has a blank after it; ``codes`` holds integers of the width that the number of words asks for.
+    """
+    parts = [_STOP + b" ", *parts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+    flat = pa.Array.from_buffers(pa.large_string(), len(parts), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(parts))])
+    coded = pc.ascii_split_whitespace(flat).flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_pylist()
+    if b"" in words:  # before a blank at the beginning, after one at the end
+        empty = words.index(b"")
+        codes = codes[codes != empty]
+        codes = codes - (codes > empty)
+        del words[empty]
+    return pa.RecordBatch.from_pydict({"lang": [lang], "words": [b" ".join([*words, b""])], "codes": [codes.astype(_width(len(words))).tobytes()]}, schema=_CODED)
+
+
+def coded_texts(rows: DataFrame) -> DataFrame:
+    """Stored ``lang, words, codes`` of all ``lang, text``: words ``[^\\x20\\x09]+`` with A-Z lower-cased, a stop for each of ``[.,;:!?\\x0A-\\x0D]`` and text end.
+
+    The texts are split here once; all later passes read the numbers of the words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            numbers = langs.indices.to_numpy()
+            order = np.split(np.argsort(numbers, kind="stable"), np.cumsum(np.bincount(numbers, minlength=1))[:-1])
+            for lang, places in zip(langs.dictionary.to_pylist(), order, strict=False):  # an empty batch has no language
+                held, size = [], 0
+                own = batch.column(1).take(pa.array(places))
+                for i, j in chunks(lengths(own)):
+                    for data in text_bytes(own[i:j]):
+                        for part in _segments(data):
+                            held.append(part.translate(_NORMAL).replace(_STOP, b" . ") + b" . ")
+                            size += len(held[-1])
+                            if size >= CODED_BYTES:
+                                yield _rows_of(lang, held)
+                                held, size = [], 0
+                if held:
+                    yield _rows_of(lang, held)
+
+    path, kinds = new_path(rows.sparkSession, "coded"), "lang string, words binary, codes binary"
+    rows.mapInArrow(run, kinds).write.option("compression", "zstd").parquet(path)  # numbers of words: entropy coding takes what Snappy leaves
+    return rows.sparkSession.read.schema(kinds).parquet(path)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, np.ndarray]]:
     for batch in batches:
-        for i, j in chunks(lengths(batch.column(1))):
-            langs, sizes, flat = [], [], []
-            for lang, data in zip(batch.column(0)[i:j].to_pylist(), text_bytes(batch.column(1)[i:j]), strict=True):
-                for part in _segments(data):
-                    own = tokens(part)
-                    langs.append(lang)
-                    sizes.append(len(own) + 1)
-                    flat += own
-                    flat.append(_STOP)
-            yield langs, np.array(sizes, np.int64), flat
-
-
-def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        for k in range(batch.num_rows):
+            lang, words, codes = (c[k] for c in batch.columns)
+            words = words.as_py()
+            yield lang.as_py(), words, np.frombuffer(codes.as_buffer(), _width(words.count(b" "))).astype(np.int32)
+
+
+def _places(keys: np.ndarray, part_bits: int, segment_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key's bucket in a table, both in the segment of its part."""
+    own, hashed = keys >> np.uint64(64 - part_bits) << np.uint64(segment_bits), mix(keys >> np.uint64(64 - BUCKET_BITS - part_bits))
+    return own | hashed >> np.uint64(64 - segment_bits), own | hashed & np.uint64((1 << segment_bits) - 1)
+
+
+def _passes(table: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     """Whether both bits of each key are set in a bit table."""
-    bits = 3 + int(log2(len(table)))
+    part_bits, held = table
     found = np.ones(len(keys), bool)
-    for at in (keys >> np.uint64(64 - bits), keys & np.uint64((1 << bits) - 1)):
-        found &= (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    for at in _places(keys, part_bits, 3 + int(log2(len(held))) - part_bits):
+        found &= (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
     return found
 
 
-def _grams(langs: list[str], sizes: np.ndarray, flat: list[bytes], hashes: WordHashes, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1, 2, ...: the key of the n-gram at each place, and whether it can be frequent by the tables of the levels below."""
-    words = hashes.of(flat)
-    keys = mix(words + np.repeat(np.array([hashes[b"\n" + lang.encode()] for lang in langs], np.uint64), sizes))
-    able = words != 0
+def _shared(rows: DataFrame, tables: list[tuple[int, bytes]]) -> list:
+    return [rows.sparkSession.sparkContext.broadcast(t) for t in tables]
+
+
+def _here(shared: list) -> list[tuple[int, np.ndarray]]:
+    return [(b.value[0], np.frombuffer(b.value[1], np.uint8)) for b in shared]
+
+
+def _grams(lang: str, words: bytes, codes: np.ndarray, tables: list, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1, 2, ... ``levels``: the key of the n-gram at each place, and whether it can be frequent by the tables of its level and those below."""
+    own = word_hashes(words)
+    keys, able = mix(own + np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))), own != 0
+    if tables:  # once for each distinct word
+        able[able] = _passes(tables[0], keys[able])
+    own, keys, able = own[codes], keys[codes], able[codes]
     yield keys, able
-    for n, table in enumerate(tables, 1):
-        able = able.copy()
-        able[able] = _passes(table, keys[able])
-        keys, able = mix(keys[:-1] + words[n:]), able[:-1] & able[1:]
+    for n in range(1, levels):
+        able = able[:-1] & able[1:]
+        places, longer = np.flatnonzero(able), np.zeros(len(able), np.uint64)
+        longer[places] = mix(keys[places] + own[places + n])
+        keys = longer
+        if n < len(tables):
+            able[able] = _passes(tables[n], keys[able])
         yield keys, able
 
 
-def frequent_buckets(rows: DataFrame, tables: list, min_count: int) -> DataFrame:
-    """``bucket`` of all n-grams of the next level whose bucket has ``min_count`` occurrences or more."""
-    shared = [rows.sparkSession.sparkContext.broadcast(t) for t in tables]
+def _planes(numbers: np.ndarray) -> bytes:
+    """Sorted numbers below ``2 ** 24``: all their first bytes, then all second ones, then all third ones, which compress well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def _of_planes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(3, -1).T
+    return out.view("<u4")[:, 0]
+
+
+def frequent_buckets(coded: DataFrame, tables: list, min_count: int, part_bits: int) -> DataFrame:
+    """``part, buckets, n``: the ``n`` buckets of n-grams of the next level that have ``min_count`` occurrences or more.
+
+    A bucket is the first ``part_bits + BUCKET_BITS`` bits of a key: its part, and a number that ``buckets`` holds sorted as 32-bit integers.
+    """
+    shared = _shared(coded, tables)
+    least = np.min_scalar_type(min_count).newbyteorder("<")  # a task counts no further than min_count, which is enough for the sum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = per_worker(StopHashes), [np.frombuffer(b.value, np.uint8) for b in shared]
+        bits = _here(shared)
         held, size = [], 0
 
         def handed_on() -> pa.RecordBatch:
-            """The held n-grams, each once: sorted together, their counts summed by runs."""
-            keys, counts = (np.concatenate([np.zeros(0, t), *(h[k] for h in held)]) for k, t in enumerate((np.uint64, np.int64)))
-            order = np.argsort(keys, kind="stable")  # each part ascends: runs are merged
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
-            summed = np.add.reduceat(counts[order], first) if len(keys) else counts
-            return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(summed)], ["bucket", "n"])
-
-        for langs, sizes, flat in _token_chunks(batches):
-            *_, (found, able) = _grams(langs, sizes, flat, hashes, bits)
-            held.append(np.unique(found[able], return_counts=True))
-            size += len(held[-1][0])
+            """The held n-grams, each once, with their counts: a row for each part."""
+            buckets = np.concatenate([np.zeros(0, np.uint64), *held])
+            held.clear()
+            buckets.sort()
+            first = np.flatnonzero(np.concatenate([buckets[:1] == buckets[:1], buckets[1:] != buckets[:-1]]))
+            counts = np.minimum(np.diff(np.append(first, len(buckets))), min_count).astype(least)
+            buckets = buckets[first]
+            ends = np.searchsorted(buckets, np.arange(1, 1 << part_bits, dtype=np.uint64) << np.uint64(BUCKET_BITS))
+            rows = [(k, _planes(x), n.tobytes()) for k, (x, n) in enumerate(zip(np.split(buckets, ends), np.split(counts, ends), strict=True)) if len(x)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "buckets", "counts"])
+
+        for lang, words, codes in _coded(batches):
+            *_, (keys, able) = _grams(lang, words, codes, bits, len(bits) + 1)
+            held.append(keys[able] >> np.uint64(64 - BUCKET_BITS - part_bits))
+            size += len(held[-1])
             if size > HELD:
                 yield handed_on()
-                held, size = [], 0
+                size = 0
         yield handed_on()
 
-    sums = rows.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    return stored(sums.filter(F.col("n") >= min_count).select("bucket"), "buckets")
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        buckets, counts = np.concatenate([_of_planes(x) for x in group["buckets"]]), np.frombuffer(b"".join(group["counts"]), least)
+        order = np.argsort(buckets)
+        buckets = buckets[order]
+        first = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+        often = buckets[first][np.add.reduceat(counts[order], first, dtype=np.int64) >= min_count]
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "buckets": [often.tobytes()], "n": [len(often)]})
+
+    found = coded.mapInArrow(run, "part int, buckets binary, counts binary")
+    return stored(found.groupBy("part").applyInPandas(summed, "part int, buckets binary, n bigint"), "buckets")
 
 
-def bit_table(buckets: DataFrame, most_bits: int = TABLE_BITS) -> bytes:
-    """Two bits for each bucket, in a table of a power of two that never exceeds ``2 ** most_bits`` bits."""
-    bits = min(most_bits, max(16, ceil(log2(BITS_EACH * (buckets.count() + 1)))))
-    places = buckets.select(F.explode(F.array(F.shiftrightunsigned("bucket", 64 - bits), F.col("bucket").bitwiseAND(F.lit((1 << bits) - 1)))).alias("at"))
-    places = places.select(F.shiftright("at", 16).alias("block"), F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("bit")).distinct()
+def bit_table(buckets: DataFrame, part_bits: int) -> tuple[int, bytes]:
+    """Two bits for each bucket, in a table of a power of two that never exceeds ``2 ** TABLE_BITS`` bits; each part has a segment of it."""
+    found = buckets.agg(F.sum("n")).first()[0] or 0
+    bits = max(min(TABLE_BITS, max(16, ceil(log2(BITS_EACH * (found + 1))))), part_bits + 3)
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        held = np.zeros(1 << 16, np.uint8)
-        held[group["bit"].to_numpy()] = 1
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for part, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = (np.uint64(part) << np.uint64(BUCKET_BITS) | np.frombuffer(own, "<u4").astype(np.uint64)) << np.uint64(64 - BUCKET_BITS - part_bits)
+                held = np.zeros(1 << (bits - part_bits), np.uint8)
+                for at in _places(keys, part_bits, bits - part_bits):
+                    held[at & np.uint64(len(held) - 1)] = 1
+                out.append(np.packbits(held, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["part", "bits"])
 
     table = bytearray(1 << (bits - 3))
-    for r in places.groupBy("block").applyInPandas(pack, "block bigint, bits binary").toLocalIterator():
-        table[r.block << 13 : (r.block + 1) << 13] = r.bits
-    return bytes(table)
+    for r in buckets.select("part", "buckets").mapInArrow(pack, "part int, bits binary").toLocalIterator():
+        table[r.part * len(r.bits) : (r.part + 1) * len(r.bits)] = r.bits
+    return part_bits, bytes(table)
+
 
+def candidates(coded: DataFrame, tables: list) -> DataFrame:
+    """Distinct ``lang, phrase`` of all words and phrases that the tables of their level let pass.
 
-def candidates(rows: DataFrame, tables: list) -> DataFrame:
-    """Distinct ``lang, phrase`` of all words and phrases that the tables of their level let pass."""
-    shared = [rows.sparkSession.sparkContext.broadcast(t) for t in tables]
+    A task hands its phrases on in lists, one for each part of the keys; no phrase holds a line feed.
+    """
+    shared, part_bits = _shared(coded, tables), tables[0][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = per_worker(StopHashes), [np.frombuffer(b.value, np.uint8) for b in shared]
+        bits = _here(shared)
         seen = [np.zeros(0, np.uint64) for _ in bits]
-        for langs, sizes, flat in _token_chunks(batches):
-            owner, ends = [], np.cumsum(sizes)
-            phrases: list[bytes] = []
-            for n, (keys, able) in enumerate(_grams(langs, sizes, flat, hashes, bits[:-1])):
+        gathered, size, of = [], 0, ""
+
+        def handed_on() -> pa.RecordBatch:
+            parts = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in gathered)]) >> np.uint64(64 - part_bits)
+            order = np.argsort(parts, kind="stable")
+            ends = np.searchsorted(parts[order], np.arange((1 << part_bits) + 1, dtype=np.uint64))
+            phrases = pa.concat_arrays([pa.array([], pa.large_binary()), *(x for _, x in gathered)]).take(pa.array(order))
+            lists = pc.binary_join(pa.LargeListArray.from_arrays(ends, phrases), pa.scalar(b"\n", pa.large_binary())).cast(pa.binary())
+            there = pa.array(np.flatnonzero(np.diff(ends)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([there, pa.array([of] * len(there), pa.string()), lists.take(there)], ["part", "lang", "phrases"])
+
+        for lang, words, codes in _coded(batches):
+            if gathered and (size > GATHERED or lang != of):
+                yield handed_on()
+                gathered, size = [], 0
+            of = lang
+            held = pa.array(words.split(b" ")[:-1], pa.large_binary())
+            for n, (keys, able) in enumerate(_grams(lang, words, codes, bits, len(bits))):
                 places = np.flatnonzero(able)
-                places = places[_passes(bits[n], keys[places])]
-                own, first = np.unique(keys[places], return_index=True)
+                # Sorted by the first bits of the key; if two keys share them, a phrase may be named again.
+                low = np.uint64((1 << len(codes).bit_length()) - 1)
+                places = (np.sort(keys[places] & ~low | places.astype(np.uint64)) & low).astype(np.int64)
+                own = keys[places]
+                new = np.concatenate([own[:1] == own[:1], own[1:] != own[:-1]])
+                places, own = places[new], own[new]
                 at = np.searchsorted(seen[n], own)
                 new = np.ones(len(own), bool)
                 new[at < len(seen[n])] = seen[n][at[at < len(seen[n])]] != own[at < len(seen[n])]
-                # Ascending; once full it starts anew, and a phrase may be named again.
-                seen[n] = np.insert(seen[n], at[new], own[new]) if len(seen[n]) < HELD else own
-                places = places[first[new]]
-                phrases += [b" ".join(flat[p : p + n + 1]) for p in places.tolist()]
-                owner += np.searchsorted(ends, places, side="right").tolist()
-            if phrases:
-                yield pa.RecordBatch.from_arrays([pa.array([langs[d] for d in owner], pa.string()), pa.array(phrases, pa.binary())], ["lang", "phrase"])
+                places, own = places[new], own[new]
+                # Once full it starts anew, and a phrase may be named again.
+                seen[n] = np.sort(np.concatenate([seen[n], own])) if len(seen[n]) < HELD else np.sort(own)
+                phrases = [held.take(pa.array(codes[places + k])) for k in range(n + 1)]
+                phrases = pc.binary_join_element_wise(*phrases, pa.scalar(b" ", pa.large_binary())) if n else phrases[0]
+                gathered.append((own, phrases))
+                size += len(own)
+        yield handed_on()
+
+    def distinct(group: pd.DataFrame) -> pd.DataFrame:
+        every = pc.split_pattern(pa.array([b"\n".join(group["phrases"])], pa.large_binary()), b"\n").flatten().unique()
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "phrase": every.to_pylist()})
 
-    return stored(rows.mapInArrow(run, "lang string, phrase binary").distinct(), "candidates")
+    found = coded.mapInArrow(run, "part int, lang string, phrases binary")
+    return stored(found.groupBy("part", "lang").applyInPandas(distinct, "lang string, phrase binary"), "candidates")
 
 
 def trie_word(word: bytes) -> bytes:
@@ -283,15 +431,17 @@ def tries(found: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def states_after(base: np.ndarray, check: np.ndarray, text: np.ndarray, places: np.ndarray, states: np.ndarray) -> np.ndarray:
-    """States reached with a blank, from ``states`` at ``places`` of ``text``: all move on by one byte at a time."""
-    reached = []
+    """The state behind the blank that follows each of ``places`` of ``text``, from ``states``; 0 if there is none: all move on by one byte at a time."""
+    reached, who = np.zeros(len(places), np.int32), np.arange(len(places))
     while len(places):
         byte = text[places]
         step = base[states] + byte
         able = check[step] == states
-        states, places, byte = step[able], places[able] + 1, byte[able]
-        reached.append(states[byte == 0x20])
-    return np.concatenate([np.zeros(0, np.int32), *reached])
+        done = able & (byte == 0x20)
+        reached[who[done]] = step[done]
+        able &= ~done
+        states, places, who = step[able], places[able] + 1, who[able]
+    return reached
 
 
 def _start(base: np.ndarray, check: np.ndarray, lang: str) -> int:
@@ -304,39 +454,51 @@ def _start(base: np.ndarray, check: np.ndarray, lang: str) -> int:
     return state
 
 
-def trie_counts(rows: DataFrame, shards: list, totals: bool) -> DataFrame:
-    """``shard, block, lang, counts, n``: summable counts of each block of phrases, and with ``totals`` the words ``n`` of each language."""
-    shared = rows.sparkSession.sparkContext.broadcast([(r.shard, bytes(r.base), bytes(r.check), bytes(r.ends), r.langs) for r in shards])
+def trie_counts(coded: DataFrame, tables: list, shards: list, totals: bool) -> DataFrame:
+    """``shard, block, lang, counts, n``: summable counts of each block of phrases, and with ``totals`` the words ``n`` of each language.
+
+    Only places that the tables let pass go through a trie beyond their first word; first words go through it once for each row of texts.
+    """
+    tries_shared = coded.sparkSession.sparkContext.broadcast([(r.shard, bytes(r.base), bytes(r.check), bytes(r.ends), r.langs) for r in shards])
+    shared = _shared(coded, tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries_here = [(name, *(np.frombuffer(x, "<i4") for x in arrays), set(langs)) for name, *arrays, langs in shared.value]
+        bits = _here(shared)
+        tries_here = [(name, *(np.frombuffer(x, "<i4") for x in arrays), set(langs)) for name, *arrays, langs in tries_shared.value]
         sums = [np.zeros(len(base), np.int64) for _, base, *_ in tries_here]
-        words: dict[str, int] = {}
-        for langs, sizes, flat in _token_chunks(batches):
-            if max(map(len, flat)) > LONG_WORD:
-                flat = [trie_word(w) for w in flat]
-            text = np.frombuffer(b" ".join(flat) + b" ", np.uint8)
-            places = np.concatenate([[0], np.flatnonzero(text == 0x20)[:-1] + 1])
-            distinct = sorted(set(langs))
-            lang_of = np.repeat(np.array([distinct.index(x) for x in langs]), sizes)
-            is_word = ~((text[places] == _STOP[0]) & (text[places + 1] == 0x20))
-            places, lang_of = places[is_word], lang_of[is_word]
-            for x, n in zip(distinct, np.bincount(lang_of, minlength=len(distinct)).tolist(), strict=True):
-                words[x] = words.get(x, 0) + n
+        total: dict[str, int] = {}
+        for lang, words, codes in _coded(batches):
+            grams = [np.flatnonzero(able) for _, able in _grams(lang, words, codes, bits, len(bits))][1:]
+            if max(map(len, words.split(b" "))) > LONG_WORD:
+                words = b"".join(trie_word(w) + b" " for w in words.split(b" ")[:-1])
+            text, begins, _ = _spelt(words)
+            times = np.bincount(codes, minlength=len(begins))
+            total[lang] = total.get(lang, 0) + int(times[1:].sum())
             for k, (_, base, check, _, own) in enumerate(tries_here):
-                starts = np.array([_start(base, check, x) if x in own else 0 for x in distinct], np.int32)[lang_of]
-                there = starts > 0
-                reached = states_after(base, check, text, places[there], starts[there])
-                if len(reached):
-                    sums[k] += np.bincount(reached, minlength=len(base))
+                start = _start(base, check, lang) if lang in own else 0
+                if not start:
+                    continue
+                firsts = np.zeros(len(begins), np.int32)
+                firsts[1:] = states_after(base, check, text, begins[1:], np.full(len(begins) - 1, start, np.int32))
+                sums[k][firsts[firsts > 0]] += times[firsts > 0]  # each word has a state of its own
+                states = firsts[codes]
+                reached = []
+                for n, places in enumerate(grams, 1):
+                    places = places[states[places] > 0]
+                    after = np.zeros(len(codes), np.int32)
+                    after[places] = states_after(base, check, text, begins[codes[places + n]], states[places])
+                    reached.append(after[places])
+                    states = after
+                if any(map(len, reached)):
+                    sums[k] += np.bincount(np.concatenate(reached), minlength=len(base))
         out = []
         for (name, _, _, ends, _), found in zip(tries_here, sums, strict=True):
             counted = found[ends]
             out += [{"shard": name, "block": k // BLOCK, "counts": part.astype("<i8").tobytes()} for k in range(0, len(counted), BLOCK) if (part := counted[k : k + BLOCK]).any()]
-        out += [{"lang": x, "n": n} for x, n in words.items()] if totals else []
+        out += [{"lang": x, "n": n} for x, n in total.items()] if totals else []
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("shard", pa.string()), ("block", pa.int32()), ("lang", pa.string()), ("counts", pa.binary()), ("n", pa.int64())]))
 
-    return stored(rows.mapInArrow(run, "shard string, block int, lang string, counts binary, n bigint"), "counts")
+    return stored(coded.mapInArrow(run, "shard string, block int, lang string, counts binary, n bigint"), "counts")
 
 
 def _summed(built: DataFrame, counted: DataFrame, min_count: int) -> DataFrame:
@@ -365,10 +527,12 @@ def _summed(built: DataFrame, counted: DataFrame, min_count: int) -> DataFrame:
 
 def frequent_phrases(rows: DataFrame, max_words: int, min_count: int, shard: int = SHARD, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, a`` of every phrase of up to ``max_words`` with ``min_count`` occurrences, single words too; ``lang, n`` of all words."""
-    tables: list[bytes] = []
+    coded, tables = coded_texts(rows), []
+    # The parts of the buckets follow the session's partitions.
+    part_bits = min(12, max(8, 1 + ceil(log2(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
     for _ in range(max_words):
-        tables.append(bit_table(frequent_buckets(rows, tables, min_count)))
-    built = tries(candidates(rows, tables), shard)
+        tables.append(bit_table(frequent_buckets(coded, tables, min_count, part_bits), part_bits))
+    built = tries(candidates(coded, tables), shard)
     sizes = built.filter("block IS NULL").select("shard", "phrases").collect()  # one short row for each shard
     groups, size = [[]], 0
     for r in sorted(sizes):
@@ -380,7 +544,7 @@ def frequent_phrases(rows: DataFrame, max_words: int, min_count: int, shard: int
     counted = None
     for k, group in enumerate(groups):
         arrays = built.filter("block IS NULL").filter(F.col("shard").isin(group)).collect()
-        part = trie_counts(rows, arrays, totals=k == 0)
+        part = trie_counts(coded, tables, arrays, totals=k == 0)
         counted = part if counted is None else counted.unionByName(part)
     totals = counted.filter("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     return _summed(built, counted, min_count), totals

@@ -100,3 +100,36 @@ def test_double_array():
             k = bytes(rng.choices(range(256), k=rng.randint(1, 4)))
             assert (walk(k) is not None) == (k in prefixes)
     assert len(np.unique(ends)) == len(keys)
+
+
+def test_texts_are_read_once_however_many_passes_count(frame, spark):
+    from pyspark.sql import functions as F
+
+    read, docs = spark.sparkContext.accumulator(0), sample()
+    seen = F.udf(lambda text: (read.add(1), text)[1])
+    got = phrases.collocations(frame(docs, SCHEMA).withColumn("text", seen("text")), shard=200, together=400)
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got.collect()) == expected(docs)
+    assert read.value == len(docs)
+
+
+def test_coded_texts_hold_the_words_of_the_texts(frame, monkeypatch):
+    monkeypatch.setattr(phrases, "CODED_BYTES", 40)
+    texts = [None, "", "  a\tB. ", "\x00 \x1c\x85   a", "x" * 300 + " é,\r\nÉ", "...", "ab " * 50]
+    rows = frame([(None if t is None else t.encode(), "en" if k % 2 else "") for k, t in enumerate(texts)], "text binary, lang string", extra=False).select("lang", "text")
+    got = Counter()
+    for r in phrases.coded_texts(rows).collect():
+        words = bytes(r.words).split(b" ")[:-1]
+        codes = np.frombuffer(r.codes, "<u2")
+        assert words[0] == b"." and len(set(words)) == len(words) and codes[0] == 0 == codes[-1]
+        got.update((r.lang, words[c].decode()) for c in codes if c)
+    lower = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for t in texts]
+    assert got == Counter(("en" if k % 2 else "", w) for k, t in enumerate(lower) for w in re.split("[\x20\x09.,;:!?\x0a-\x0d]+", t) if w)
+
+
+def test_hashes_of_words():
+    rng = random.Random(8)
+    words = sorted({bytes(rng.choices(range(33, 36), k=rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(3000)} - {b"."})
+    hashes = phrases.word_hashes(b" ".join([b".", *words, b""]))
+    assert hashes[0] == 0 and len(set(hashes.tolist())) == len(words) + 1
+    back = phrases.word_hashes(b" ".join([b".", *words[::-1], b""]))
+    assert (back[1:][::-1] == hashes[1:]).all()
