@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.llm import bpe, decontaminate, minhash, quality
-from fleetscope.llm.common import semi_join, stored, table
+from fleetscope.llm.common import counted, semi_join, stored, table
 from fleetscope.llm.queries import QUALITY_THRESHOLD, learnable
 
 
@@ -27,7 +27,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The document with the smallest doc_id of every group; of repeated rows of one id, one. Null ids stay."""
     groups = minhash.near_duplicates(docs, width=5, percent=80)
     rest = semi_join(docs, groups.filter("NOT kept").select("doc_id"), "doc_id", "left_anti")
-    repeated = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    repeated, n = counted(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not n:
+        return rest.select(*docs.columns)
     once = semi_join(rest, repeated, "doc_id").dropDuplicates(["doc_id"])
     return semi_join(rest, repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A semi join's key side is broadcast up to so many counted keys; beyond, both sides are shuffled.
@@ -56,11 +56,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``stored``, with aggregates of the rows that are taken while they are written, not by a job of their own."""
+    seen = Observation()
+    rows = stored(df.observe(seen, *(c.alias(k) for k, c in measures.items())), name)
+    return rows, seen.get
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``stored`` and the number of rows."""
+    rows, seen = measured(df, name, n=F.count(F.lit(1)))
+    return rows, seen["n"]
+
+
 def semi_join(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", bound: int = BROADCAST_KEYS) -> DataFrame:
     """Rows whose ``on`` is among ``keys``, or with ``left_anti`` is not; only a counted, bounded key set is broadcast."""
-    keys = stored(keys.select(on).distinct(), "keys")
-    small = keys.limit(bound + 1).count() <= bound
-    return rows.join(F.broadcast(keys) if small else keys, on, how)
+    keys, n = counted(keys.select(on).distinct(), "keys")
+    return rows.join(F.broadcast(keys) if n <= bound else keys, on, how)
 
 
 def only(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

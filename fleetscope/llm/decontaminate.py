@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, semi_join, stored
+from .common import BROADCAST_KEYS, counted, measured, semi_join, stored
 
 WIDTH, THRESHOLD = 5, 0.8
 #: At similarity 0.8 fingerprints differ in 9.7 bits on average, deviation 2.9.
@@ -41,7 +41,11 @@ def _shingles(words: str, width: int) -> Column:
 
 def _fingerprint(hashes: str) -> Column:
     """Sign of the weighted sum of each bit over a group's rows of one shingle hash."""
-    bits = [F.shiftleft((F.sum(F.shiftright(hashes, b).bitwiseAND(F.lit(1)) * 2 - 1) > 0).cast("bigint"), b) for b in range(64)]
+    # Bits b and b + 32 are counted in the halves of one number; arrays, and so groups, have less than 2^31 shingles.
+    pair = F.lit(0x1_0000_0001)
+    sums = [F.sum(F.shiftright(hashes, b).bitwiseAND(pair)) for b in range(32)]
+    ones = [s.bitwiseAND(F.lit(0xFFFF_FFFF)) for s in sums] + [F.shiftrightunsigned(s, 32) for s in sums]
+    bits = [F.shiftleft((n * 2 > F.count(hashes)).cast("bigint"), b) for b, n in enumerate(ones)]
     # Added in pairs: a chain of 64 operators would be deep.
     while len(bits) > 1:
         bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]
@@ -70,8 +74,9 @@ def leaks(
     """
     items = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), word_list(F.col(item_text)).alias("words"))
     items = items.filter(F.size("words") > 0).withColumn("n", F.size("words")).withColumn("item", F.xxhash64("item_id", "words"))
-    items = stored(items.withColumn("width", F.least(F.lit(WIDTH), "n")).dropDuplicates(["item"]), "items")
-    widths = [r[0] for r in items.select("width").distinct().orderBy("width").collect()]  # at most five numbers
+    items = items.withColumn("width", F.least(F.lit(WIDTH), "n")).dropDuplicates(["item"])
+    items, seen = measured(items, "items", **{f"n{w}": F.count_if(F.col("width") == w) for w in range(1, WIDTH + 1)})
+    widths = [w for w in range(1, WIDTH + 1) if seen[f"n{w}"]]
     docs = docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     # A row's own key: rows of one id with other texts stay apart, whatever their number.
     docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
@@ -89,11 +94,11 @@ def leaks(
 def _leaks(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
     # Every shingle of every document against those of the items.
     wanted = items.select("item", "item_id", "n", F.posexplode(_shingles("words", width)).alias("item_pos", "h"))
-    wanted = stored(wanted, "item-shingles")
-    counted = wanted.limit(BROADCAST_KEYS + 1).count()
-    placed = wanted.groupBy("h").agg(F.collect_list(F.struct("item", "item_pos", "n")).alias("at")) if counted <= BROADCAST_KEYS else wanted.select("h", F.array(F.struct("item", "item_pos", "n")).alias("at"))
+    wanted, n_wanted = counted(wanted, "item-shingles")
+    few = n_wanted <= BROADCAST_KEYS
+    placed = wanted.groupBy("h").agg(F.collect_list(F.struct("item", "item_pos", "n")).alias("at")) if few else wanted.select("h", F.array(F.struct("item", "item_pos", "n")).alias("at"))
     every = docs.select("doc", word_list(F.col("text")).alias("words")).select("doc", F.posexplode(_shingles("words", width)).alias("pos", "h"))
-    hits = every.join(F.broadcast(placed) if counted <= BROADCAST_KEYS else placed, "h").select("doc", "pos", F.explode("at").alias("at"))
+    hits = every.join(F.broadcast(placed) if few else placed, "h").select("doc", "pos", F.explode("at").alias("at"))
     hits = stored(hits.select("doc", "at.item", "at.n", "pos", (F.col("pos") - F.col("at.item_pos")).alias("start")), "hits")
     # A window at the threshold holds that share of the item's shingles.
     enough = hits.groupBy("doc", "item", "n").agg(F.countDistinct("pos").alias("shared")).filter(F.col("shared") >= threshold * (F.col("n") - width + 1))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, mix, only, per_worker, semi_join, shingle_hashes, stored, text_bytes, words
+from .common import WordHashes, chunks, counted, mix, only, per_worker, semi_join, shingle_hashes, stored, text_bytes, words
 from .components import components
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 2
@@ -169,6 +169,11 @@ def _named(buckets: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return named.select("bucket", "m", F.coalesce(label, "node").alias("comp"))
 
 
+def _joined(labels: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """The components of ``labels`` after ``n`` more edges."""
+    return components(labels.toDF("a", "b").unionByName(edges.select("a", "b"))) if n else labels
+
+
 def bucket_links(buckets: DataFrame, possible: Column) -> DataFrame:
     """Members ``a, b`` of one bucket but not of one ``comp`` for which ``possible`` holds, one ``b`` per text and component.
 
@@ -188,7 +193,9 @@ def region_links(regions: DataFrame, labels: DataFrame, reps: DataFrame, texts:
     whatever the size of a region, and gives back one link per text and component at most.
     """
     own = regions.join(labels, "node", "left").select("region", F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("comp"))
-    inside = stored(_split(own, "region", BLOCK), "regions")
+    inside, n = counted(_split(own, "region", BLOCK), "regions")
+    if not n:
+        return inside.select(F.col("doc_id").alias("a"), F.col("comp").alias("b"))
     carried = inside.join(reps.select("doc_id", "n_shingles", *_SIGNATURE), "doc_id").join(texts, "doc_id")
     carried = stored(carried, "region-texts")
     columns = ["region", "x", "y", "doc_id", "comp", "n_shingles", *_SIGNATURE, "text"]
@@ -248,38 +255,38 @@ def near_duplicates(
     signature = F.struct("doc_id", "n_shingles", *_SIGNATURE)
     full = keyed.join(shared, "bucket").join(reps.select("doc_id", signature.alias("m")), "doc_id")
     buckets = stored(full.select("bucket", "m", F.col("doc_id").alias("comp")), "buckets")
-    ids = stored(buckets.select("m.doc_id").distinct(), "bucket-ids")
+    ids = buckets.select("m.doc_id").distinct()
     speaking = stored(classes.join(ids.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "first.doc_id", "first.key"), "speaking")
     plain = semi_join(keyed_texts(docs, id_column, text_column), speaking, "doc_id").dropDuplicates(["doc_id", "key"])
     texts = stored(plain.join(speaking, ["doc_id", "key"]).select(F.col("rep").alias("doc_id"), "text"), "bucket-texts")
     least = percent / 100 - MARGIN
     smaller, larger = F.least("m.n_shingles", "o.n_shingles"), F.greatest("m.n_shingles", "o.n_shingles")
     possible = (F.col("comp") != F.col("o_comp")) & (smaller * 100 >= larger * percent) & (estimate("m", "o") >= least)
-    links, close = None, None
+    # Components that links make, and that estimates make; the labels of a step stand for its links in the next.
+    labels = buckets.select(F.col("comp").alias("node"), F.col("comp").alias("component")).limit(0)
+    close, left = labels.toDF("a", "b"), 1
     for turn in range(leader_rounds):
         # A member drawn by lot leads; a hot bucket is one row per task before the exchange.
         lot = F.xxhash64("m.doc_id", "bucket", F.lit(turn))
         leaders = buckets.groupBy("bucket").agg(F.min(F.struct(lot.alias("lot"), F.col("m").alias("o"), F.col("comp").alias("o_comp"))).alias("leader"))
         met = buckets.join(leaders.select("bucket", "leader.o", "leader.o_comp"), "bucket").filter(possible)
         met = stored(met.select(F.col("m.doc_id").alias("a"), F.col("o.doc_id").alias("b"), estimate("m", "o").alias("e")).distinct(), "met")
-        close = met.select("a", "b") if close is None else close.unionByName(met.select("a", "b"))
+        close = close.unionByName(met.select("a", "b"))
         pairs = met.groupBy("a").agg(F.max(F.struct("e", "b")).alias("best")).select("a", "best.b")
-        found = stored(similar_pairs(pairs, texts, width, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = _joined(labels, *counted(similar_pairs(pairs, texts, width, percent), "links"))
         # Buckets within one component are done, and so is a leader: all others have met it.
         named = stored(_named(buckets, labels, "component"), "named")
         mixed = named.groupBy("bucket").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(lot.alias("lot"), F.col("m.doc_id").alias("doc_id"))).alias("led")
         ).filter("lo <> hi").select("bucket", "led")
-        buckets = stored(named.join(mixed, "bucket").filter("m.doc_id <> led.doc_id").drop("led"), "buckets")
-    regions = components(close.unionByName(links))
-    rest = stored(bucket_links(_named(buckets, regions, "component"), possible), "met")
-    if not rest.isEmpty():
-        regions = components(close.unionByName(links).unionByName(rest))
+        buckets, left = counted(named.join(mixed, "bucket").filter("m.doc_id <> led.doc_id").drop("led"), "buckets")
+        if not left:
+            break
+    regions = components(close)
+    if left:
+        regions = _joined(regions, *counted(bucket_links(_named(buckets, regions, "component"), possible), "met"))
     regions = regions.select("node", F.col("component").alias("region"))
-    found = stored(region_links(regions, labels, reps, texts, width, percent), "links")
-    labels = components(links.unionByName(found))
+    labels = _joined(labels, *counted(region_links(regions, labels, reps, texts, width, percent), "links"))
     own = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("first.doc_id").alias("least"), F.coalesce("component", "rep").alias("component"))
     smallest = own.groupBy("component").agg(F.min("least").alias("component_id"))
     placed = own.join(smallest, "component").select("digest", "component_id")

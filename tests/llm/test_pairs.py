@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetscope.llm import decontaminate, embeddings, minhash
+from fleetscope.llm import common, decontaminate, embeddings, minhash
 from fleetscope.llm.components import components
 from fleetscope.llm.oracle import ORACLE
 from fleetscope.llm.queries import QUERIES
@@ -105,6 +105,26 @@ def test_components(spark):
         assert {r.node: r.component for r in got} == {n: label[n] for n in touched} and len(got) == len(touched)
 
 
+def test_components_of_one_lot_take_no_round(spark, monkeypatch):
+    """Edges that fit a task are stars when they are first written; every further round is some ten exchanges of the driver."""
+    rounds = []
+    store = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: rounds.append(name) or store(df, name))
+    monkeypatch.setattr("fleetscope.llm.components.stored", common.stored, raising=False)
+    got = components(spark.createDataFrame([(k, k + 1) for k in range(60)], "a bigint, b bigint").repartition(4)).collect()
+    assert {r.node: r.component for r in got} == dict.fromkeys(range(61), 0) and rounds == ["edges"]
+    assert components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0
+
+
+def test_components_of_many_lots(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
+    label = groups({n for e in edges for n in e}, edges)
+    got = components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3), most=4).collect()
+    touched = {n for a, b in edges if a != b for n in (a, b)}
+    assert {r.node: r.component for r in got} == {n: label[n] for n in touched} and len(got) == len(touched)
+
+
 def weighted(text, width):
     import re
 
