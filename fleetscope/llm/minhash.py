@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, chunks, counted, mix, only, per_worker, semi_join, shingle_hashes, stored, text_bytes, words
-from .components import components
+from .components import counted_components
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 2
 LEADER_ROUNDS = 2
@@ -169,9 +169,10 @@ def _named(buckets: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return named.select("bucket", "m", F.coalesce(label, "node").alias("comp"))
 
 
-def _joined(labels: DataFrame, edges: DataFrame, n: int) -> DataFrame:
-    """The components of ``labels`` after ``n`` more edges."""
-    return components(labels.toDF("a", "b").unionByName(edges.select("a", "b"))) if n else labels
+def _joined(labels: tuple[DataFrame, int], edges: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The components of ``labels`` after ``n`` more edges; both with a bound of their rows."""
+    rows, known = labels
+    return counted_components(rows.toDF("a", "b").unionByName(edges.select("a", "b")), known + n) if n else labels
 
 
 def bucket_links(buckets: DataFrame, possible: Column) -> DataFrame:
@@ -263,30 +264,30 @@ def near_duplicates(
     smaller, larger = F.least("m.n_shingles", "o.n_shingles"), F.greatest("m.n_shingles", "o.n_shingles")
     possible = (F.col("comp") != F.col("o_comp")) & (smaller * 100 >= larger * percent) & (estimate("m", "o") >= least)
     # Components that links make, and that estimates make; the labels of a step stand for its links in the next.
-    labels = buckets.select(F.col("comp").alias("node"), F.col("comp").alias("component")).limit(0)
-    close, left = labels.toDF("a", "b"), 1
+    none = buckets.select(F.col("comp").alias("node"), F.col("comp").alias("component")).filter(F.lit(False))
+    labels, close, n_close, left = (none, 0), none.toDF("a", "b"), 0, 1
     for turn in range(leader_rounds):
         # A member drawn by lot leads; a hot bucket is one row per task before the exchange.
         lot = F.xxhash64("m.doc_id", "bucket", F.lit(turn))
         leaders = buckets.groupBy("bucket").agg(F.min(F.struct(lot.alias("lot"), F.col("m").alias("o"), F.col("comp").alias("o_comp"))).alias("leader"))
         met = buckets.join(leaders.select("bucket", "leader.o", "leader.o_comp"), "bucket").filter(possible)
-        met = stored(met.select(F.col("m.doc_id").alias("a"), F.col("o.doc_id").alias("b"), estimate("m", "o").alias("e")).distinct(), "met")
-        close = close.unionByName(met.select("a", "b"))
+        met, n = counted(met.select(F.col("m.doc_id").alias("a"), F.col("o.doc_id").alias("b"), estimate("m", "o").alias("e")).distinct(), "met")
+        close, n_close = close.unionByName(met.select("a", "b")), n_close + n
         pairs = met.groupBy("a").agg(F.max(F.struct("e", "b")).alias("best")).select("a", "best.b")
         labels = _joined(labels, *counted(similar_pairs(pairs, texts, width, percent), "links"))
         # Buckets within one component are done, and so is a leader: all others have met it.
-        named = stored(_named(buckets, labels, "component"), "named")
+        named = stored(_named(buckets, labels[0], "component"), "named")
         mixed = named.groupBy("bucket").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(lot.alias("lot"), F.col("m.doc_id").alias("doc_id"))).alias("led")
         ).filter("lo <> hi").select("bucket", "led")
         buckets, left = counted(named.join(mixed, "bucket").filter("m.doc_id <> led.doc_id").drop("led"), "buckets")
         if not left:
             break
-    regions = components(close)
+    regions = counted_components(close, n_close)
     if left:
-        regions = _joined(regions, *counted(bucket_links(_named(buckets, regions, "component"), possible), "met"))
-    regions = regions.select("node", F.col("component").alias("region"))
-    labels = _joined(labels, *counted(region_links(regions, labels, reps, texts, width, percent), "links"))
+        regions = _joined(regions, *counted(bucket_links(_named(buckets, regions[0], "component"), possible), "met"))
+    regions = regions[0].select("node", F.col("component").alias("region"))
+    labels, _ = _joined(labels, *counted(region_links(regions, labels[0], reps, texts, width, percent), "links"))
     own = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("first.doc_id").alias("least"), F.coalesce("component", "rep").alias("component"))
     smallest = own.groupBy("component").agg(F.min("least").alias("component_id"))
     placed = own.join(smallest, "component").select("digest", "component_id")

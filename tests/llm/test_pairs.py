@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetscope.llm import common, decontaminate, embeddings, minhash
-from fleetscope.llm.components import components
+from fleetscope.llm.components import components, counted_components
 from fleetscope.llm.oracle import ORACLE
 from fleetscope.llm.queries import QUERIES
 
@@ -116,6 +116,24 @@ def test_components_of_one_lot_take_no_round(spark, monkeypatch):
     assert components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_few_edges_in_many_tasks(spark, monkeypatch):
+    """Stars of many tasks that fit one lot are joined as one, and counted edges need no exchange: rounds cost hundreds of tasks each."""
+    stores = []
+    store = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: stores.append(name) or store(df, name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a bigint, b bigint").repartition(4)
+        got = components(edges).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.component for r in got} == dict.fromkeys(range(61), 0) and len(got) == 61 and len(stores) == 2
+    rows, n = counted_components(edges, 60)
+    assert {r.node: r.component for r in rows.collect()} == dict.fromkeys(range(61), 0) and n == 61 and len(stores) == 3
+    rows, n = counted_components(edges, 60, most=8)
+    assert {r.node: r.component for r in rows.collect()} == dict.fromkeys(range(61), 0) and n >= 61
+
+
 def test_components_of_many_lots(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
