@@ -18,9 +18,11 @@ from .common import CACHE_BYTES, ENTRY_BYTES, KEPT_KEY
 #: White space after which a blank may continue the same match.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _PIECE = re.compile(r"[ \n\r\t]*[A-Za-z]++(?![^\x00-\x7f])|[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
-#: In texts without these, each blank follows a character which is no white space.
-_ODD_BLANK = _OTHER_SPACE.pattern + "|[ \n\r\t] "
-_BLANKS = (" ", "\n", "\r", "\t")
+_BLANKS = b" \n\r\t"
+#: Kinds of bytes: 1 a blank, 2 an ASCII letter, 3 no ASCII, 0 the rest.
+_KIND = np.repeat(np.array([0, 3], np.uint8), 128)
+_KIND[list(_BLANKS)] = 1
+_KIND[[c for c in range(128) if chr(c).isalpha()]] = 2
 #: Bytes of pieces that are handed to a library as one text.
 _JOINED = 1 << 12
 
@@ -50,19 +52,18 @@ class PieceCache:
         young, old = self.young, self.old
         found = list(map(young.get, distinct))
         new = [k for k, ids in enumerate(found) if ids is None]
-        missing = []
-        for k in new:
-            found[k] = ids = old.get(distinct[k])
-            if ids is None:
-                missing.append(k)
-        for k, ids in zip(missing, self.encode([distinct[k] for k in missing]) if missing else (), strict=True):
+        asked = [distinct[k] for k in new]
+        known = list(map(old.get, asked))
+        missing = [p for p, ids in zip(asked, known, strict=True) if ids is None]
+        places = [k for k, ids in zip(new, known, strict=True) if ids is None]
+        for k, ids in zip(new, known, strict=True):
             found[k] = ids
-        for k in new:
-            p, ids = distinct[k], found[k]
-            # What is long is in no generation.
-            if len(p) <= KEPT_KEY:
-                young[p] = ids
-                self.size += ENTRY_BYTES + len(p) + len(ids)
+        for k, ids in zip(places, self.encode(missing) if missing else (), strict=True):
+            found[k] = ids
+        # What is long is in no generation.
+        kept = {p: found[k] for k, p in zip(new, asked, strict=True) if len(p) <= KEPT_KEY}
+        young.update(kept)
+        self.size += ENTRY_BYTES * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
         if 2 * self.size > self.most:
             self.young, self.old, self.size = {}, young, 0
         return found
@@ -76,33 +77,49 @@ class PieceCache:
     def of(self, texts: pa.Array, given: dict[int, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string array, one after another, and where each text ends.
 
-        Texts are split at blanks by Arrow, and only distinct parts reach Python; texts with odd
+        Texts are cut by the kinds of their bytes, and only distinct pieces reach Python; texts with odd
         white space go there whole. ``given`` has the packed ids of rows that are not to be encoded here.
         """
         given = given or {}
-        odd = pc.match_substring_regex(texts, _ODD_BLANK).to_numpy(zero_copy_only=False).copy()
+        odd = pc.match_substring_regex(texts, _OTHER_SPACE.pattern).to_numpy(zero_copy_only=False).copy()
         odd[list(given)] = True
         apart = np.flatnonzero(odd)
-        split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        flat, offsets = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
-        first = np.zeros(len(flat), bool)
-        first[offsets[:-1]] = True
-        rest, heads = (flat.filter(pa.array(m)).dictionary_encode() for m in (~first, first))
-        parts, starts = (d.dictionary.to_numpy(zero_copy_only=False).tolist() for d in (rest, heads))
-        known = [" " + x for x in parts] + [x for x in starts if x]
-        slots = np.cumsum([len(parts) - 1, *(x != "" for x in starts)])[1:]  # an empty start has no piece
+        # A text that is not cut here holds the place of one piece.
+        cut = pc.if_else(pa.array(odd), " ", texts) if len(apart) else texts
+        flat, bounds = _cut(cut)
+        encoded = flat.dictionary_encode()
+        known = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
         whole = [i for i in apart.tolist() if i not in given]
         own = dict(zip(whole, self.packed([texts[i].as_py() for i in whole]), strict=True)) | given
-        packed = self.look_up(known) + [own[i] for i in apart.tolist()] + [b""]
-        place = np.empty(len(flat), np.int64)
-        place[~first] = rest.indices.to_numpy()
-        place[first] = np.where([x != "" for x in starts], slots, len(packed) - 1)[heads.indices.to_numpy()] if len(starts) else 0
-        place[offsets[apart]] = len(known) + np.arange(len(apart))
-        sizes = np.array([len(p) for p in packed], np.int64) // 4
+        packed = self.look_up(known) + [own[i] for i in apart.tolist()]
+        place = encoded.indices.to_numpy().astype(np.int64)
+        place[bounds[apart]] = len(known) + np.arange(len(apart))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         ids, lengths = np.frombuffer(b"".join(packed), "<u4"), sizes[place]
         ends = np.cumsum(lengths)
         at = np.repeat((np.cumsum(sizes) - sizes)[place] - ends + lengths, lengths) + np.arange(lengths.sum())
-        return ids[at], ends[offsets[1:] - 1]
+        return ids[at], np.concatenate([[0], ends])[bounds[1:]]
+
+
+def _slices(array: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Offsets of a string array's values in its buffer of bytes."""
+    _, offsets, data = array.buffers()
+    return np.frombuffer(offsets, np.int32, len(array) + 1, 4 * array.offset), data if data is not None else pa.py_buffer(b"")
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of texts without odd white space, one after another, and the number of pieces before each text and after the last."""
+    if not len(texts):
+        return texts, np.zeros(1, np.int64)
+    offsets, data = _slices(texts)
+    kind = _KIND[np.frombuffer(data, np.uint8, offsets[-1] - offsets[0], offsets[0]) if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)]
+    first = np.zeros(len(kind), bool)
+    blank = kind == 1
+    first[1:] = (blank[1:] & ~blank[:-1]) | ((kind[1:] == 0) & (kind[:-1] == 2))
+    first[offsets[:-1][np.diff(offsets) > 0] - offsets[0]] = True
+    starts = np.flatnonzero(first).astype(np.int32) + offsets[0]
+    cuts = np.append(starts, offsets[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts), data]), np.searchsorted(starts, offsets)
 
 
 class JoinedEncoder:
@@ -117,28 +134,26 @@ class JoinedEncoder:
 
     def __call__(self, missing: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(missing)
+        strings = pa.array(missing, pa.string())
+        offsets, data = _slices(strings)
+        kind, full = np.append(_KIND[np.frombuffer(data, np.uint8)], 0) == 1, np.diff(offsets) > 0
         # White space before, none of any kind at the end: such pieces may follow each other.
-        odd = {p for p in missing if _OTHER_SPACE.search(p)} if _OTHER_SPACE.search("".join(missing)) else ()
-        plain = [i for i, p in enumerate(missing) if p[:1] in _BLANKS and p[-1:] not in _BLANKS and p not in odd]
-        rest = sorted(set(range(len(missing))).difference(plain))
+        joins = full & kind[offsets[:-1]] & ~kind[offsets[1:] - 1]
+        if _OTHER_SPACE.search("".join(missing)):
+            joins &= [_OTHER_SPACE.search(p) is None for p in missing]
+        rest = np.flatnonzero(~joins).tolist()
         for i, ids in zip(rest, self.whole([missing[i] for i in rest]), strict=True):
             out[i] = np.asarray(ids, "<u4").tobytes()
-        groups, sizes, start, size = [], [], 0, 0
-        for k, i in enumerate(plain):
-            p = missing[i]
-            sizes.append(len(p) if p.isascii() else len(p.encode()))
-            size += sizes[-1]
-            if size >= _JOINED or k + 1 == len(plain):
-                groups.append(plain[start : k + 1])
-                start, size = k + 1, 0
-        joined = self.whole(["".join(missing[i] for i in g) for g in groups]) if groups else []
-        first = 0
-        for group, ids in zip(groups, joined, strict=True):
-            ids = np.asarray(ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(sizes[first : first + len(group)])) + 1
-            first += len(group)
-            packed, at = ids.tobytes(), 0
-            for i, end in zip(group, (4 * ends).tolist(), strict=True):
-                out[i] = packed[at:end]
-                at = end
+        plain = np.flatnonzero(joins)
+        if not len(plain):
+            return out
+        offsets, data = _slices(strings.take(pa.array(plain)))
+        groups = np.append(np.flatnonzero(np.diff((offsets[:-1] - offsets[0]) // _JOINED, prepend=-1)), len(plain))
+        joined = pa.Array.from_buffers(pa.string(), len(groups) - 1, [None, pa.py_buffer(offsets[groups]), data])
+        flat = np.concatenate([np.asarray(ids, "<u4") for ids in self.whole(joined.to_pylist())])
+        ends = 4 * (np.searchsorted(np.cumsum(self.id_bytes[flat]), offsets[1:] - offsets[0]) + 1)
+        packed, at = flat.tobytes(), 0
+        for i, end in zip(plain.tolist(), ends.tolist(), strict=True):
+            out[i] = packed[at:end]
+            at = end
         return out

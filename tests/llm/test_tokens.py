@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetscope.llm import bpe, pieces, records, token_counts
@@ -52,6 +53,31 @@ def test_piece_cache_stays_in_its_bound():
     assert seen.count(" b") == 1
 
 
+def test_words_are_looked_up_without_what_follows_them():
+    """A word before a full stop or a line break is the piece it is before a blank, so the library meets it once."""
+    seen = []
+
+    def encode(missing):
+        seen.extend(missing)
+        return [p.encode("utf-32-le") for p in missing]
+
+    texts = ["tie. A tie, a tie; tie&&&\ntie", "", "a tie:a\n\ntie's é.tie x\u0302.", "tie\u3000tie", "", " \n tie "]
+    ids, ends = pieces.PieceCache(encode).of(pa.array(["cut off", *texts])[1:], {5: "given".encode("utf-32-le")})
+    found = ["".join(map(chr, x)) for x in np.split(ids, ends[:-1])]
+    assert found == [*texts[:5], "given"]
+    assert sorted(seen) == sorted([
+        "tie", ".", " A", " tie", ",", " a", ";", "&&&", "\ntie", "a", ":a", "\n\ntie", "'s", " é.tie", " x\u0302.", "tie\u3000tie", " ",
+    ])
+
+
+def test_texts_of_a_batch_keep_their_places():
+    rng, lib = random.Random(12), token_counts.LibraryEncoder(JSON)
+    texts = ["".join(rng.choices([*PARTS, "tie", "Tie", " a"], k=rng.choice([0, 1, 3, 30]))) for _ in range(3000)]
+    for first in (0, 7):
+        ids, ends = lib.of(pa.array(texts)[first:])
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == lib.whole(texts[first:])
+
+
 def test_joined_pieces_are_told_apart():
     lib, rng = token_counts.LibraryEncoder(JSON), random.Random(8)
     missing = ["".join(rng.choices([" ", "\n", "é", "a", "日本", "'s", "7", "!", "\t"], k=rng.randint(1, 9))) for _ in range(4000)]
